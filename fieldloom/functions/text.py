@@ -87,10 +87,10 @@ def normalize_eval_text(x: Column) -> Column:
 
 
 def normalize_work_order_id(x: Column) -> Column:
-    """The bare id of a path or link: without query, folders, prefix and extension."""
-    t = F.regexp_replace(py_strip(F.coalesce(x, F.lit(""))), r"[?#].*\z", "")
-    t = F.regexp_replace(t, r"\A.*[/\\]", "")
-    return normalize_eval_text(F.regexp_replace(F.regexp_replace(t, r"(?i)\Awo:", ""), r"\.[A-Za-z0-9]+\z", ""))
+    """The bare id of a path or link: without query, folders, prefix and extension; empty for null."""
+    t = F.regexp_replace(py_strip(F.coalesce(x, F.lit(""))), r"(?s)[?#].*\z", "")
+    t = py_strip(F.regexp_replace(F.regexp_replace(t, r"[/\\]+\z", ""), r"(?s)\A.*[/\\]", ""))
+    return py_strip(F.regexp_replace(F.regexp_replace(t, r"\.[^.]+\z", ""), r"(?i)\Awo:", ""))
 
 
 def split_cell(x: Column) -> Column:

@@ -29,3 +29,8 @@ SQL = {
     "p2_rates": f"""WITH {_P2} SELECT log_file, count(*) AS lines, count_if(reason = 'quoting') AS quoting, count_if(reason = 'column_count') AS column_count,
         count_if(reason = 'invalid_value') AS invalid_value FROM p2 GROUP BY log_file""",
 }
+
+from fieldloom.plans import search  # noqa: E402
+
+QUERIES |= search.QUERIES
+SQL |= search.SQL
