@@ -107,16 +107,24 @@ def fault_codes(x: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(FAULT_CODE), F.lit(0)), F.upper))
 
 
+_STEM = r"(?s)\A([A-Za-z][0-9]{3,}[A-Za-z0-9_-]*)\s*(.*)\z"
+
+
 def fault_code_of_stem(stem: Column) -> Column:
-    return F.nullif(F.upper(F.regexp_extract(py_strip(stem), r"\A([A-Za-z]\d{3,}[A-Za-z0-9_-]*)", 1)), F.lit(""))
+    """The fault code a file name begins with, upper case; null without one."""
+    return F.nullif(F.upper(F.regexp_extract(py_strip(stem), _STEM, 1)), F.lit(""))
 
 
 def fault_description_of_stem(stem: Column) -> Column:
-    return F.when(fault_code_of_stem(stem).isNotNull(), py_strip(F.regexp_replace(py_strip(stem), r"\A[A-Za-z]\d{3,}[A-Za-z0-9_-]*", ""), r"[\s_\-—:：]"))
+    return F.when(fault_code_of_stem(stem).isNotNull(), py_strip(F.regexp_extract(py_strip(stem), _STEM, 2)))
 
 
 def fault_title_of_stem(stem: Column) -> Column:
-    return py_strip(F.regexp_replace(py_strip(stem), r"\A故障现象[:：]\s*", ""))
+    """The name without its marker; of a name with a code and no marker the description, where there is one."""
+    bare = py_strip(stem)
+    title = py_strip(F.regexp_replace(bare, r"\A故障现象\s*[:：]\s*", ""))
+    about = F.nullif(fault_description_of_stem(stem), F.lit(""))
+    return F.when(title == bare, F.coalesce(about, title)).otherwise(title)
 
 
 def table_count(html: Column) -> Column:
