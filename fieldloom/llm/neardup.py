@@ -22,8 +22,8 @@ from fieldloom.session import materialize, table
 BLOCK, BLOCKS = 5, 100
 #: characters in a shingle, least length of a key, least similarity
 SHINGLE, LEAST, SIMILAR = 3, 60, 0.6
-#: Bits differ with probability (1 - J) / 2: at J = 0.6, 100 of 500 with a deviation of 9. Unrelated texts differ in 240.
-FARTHEST = 160
+#: Bits of the fingerprint differ with probability (1 - J) / 2: at J = 0.6, 51 of 256 with a deviation of 6.4. Unrelated texts differ in 122.
+BITS, FARTHEST = 256, 96
 
 _rng = np.random.RandomState(20240607)
 _MUL = (_rng.randint(1, 2**31, BLOCK * BLOCKS).astype(np.uint64) * 2 + 1).astype(np.uint32)
@@ -51,13 +51,13 @@ def _hash(codes: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint(text: str) -> np.ndarray:
-    """The least hash under each of BLOCK * BLOCKS permutations."""
+def fingerprint(text: str, symbols: int = BLOCK * BLOCKS) -> np.ndarray:
+    """The least hash under each of the first permutations."""
     h = _hash(shingles(text))
-    best = np.full(BLOCK * BLOCKS, 0xFFFFFFFF, dtype=np.uint32)
+    best = np.full(symbols, 0xFFFFFFFF, dtype=np.uint32)
     with np.errstate(over="ignore"):
         for at in range(0, len(h), 256):  # long texts in slices that stay in the cache
-            np.minimum(best, (h[at : at + 256, None] * _MUL + _ADD).min(axis=0), out=best)
+            np.minimum(best, (h[at : at + 256, None] * _MUL[:symbols] + _ADD[:symbols]).min(axis=0), out=best)
     return best
 
 
@@ -68,9 +68,22 @@ def _blocks(fp: np.ndarray) -> np.ndarray:
         return (x * np.uint64(0x94D049BB133111EB)).view(np.int64)
 
 
-def _bits(fp: np.ndarray) -> bytes:
+def _bits(fp: np.ndarray) -> np.ndarray:
+    """One bit of each symbol, as 64-bit words."""
     with np.errstate(over="ignore"):
-        return np.packbits((fp * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)).tobytes()
+        return np.packbits((fp * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)).view(np.int64)
+
+
+def with_bits(texts: DataFrame) -> DataFrame:
+    """(rep, key, b0, b1, ...): texts with the words of their bit fingerprint."""
+    words = [f"b{i}" for i in range(BITS // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.array([_bits(fingerprint(t, BITS)) for t in b.column(1).to_pylist()], dtype=np.int64).reshape(-1, len(words))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(words)))], names=["rep", "key", *words])
+
+    return texts.select("rep", "key").mapInArrow(run, "rep bigint, key string, " + ", ".join(f"{w} bigint" for w in words))
 
 
 def block_rows(texts: DataFrame) -> DataFrame:
@@ -87,27 +100,34 @@ def block_rows(texts: DataFrame) -> DataFrame:
     return texts.select("rep", "key").mapInArrow(run, "rep bigint, block bigint")
 
 
+def near(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidate pairs within FARTHEST bits of each other; JVM only, and without their texts."""
+    words = [f"b{i}" for i in range(BITS // 64)]
+    side = lambda x: texts.select(F.col("rep").alias(f"rep_{x}"), *(F.col(w).alias(f"{w}_{x}") for w in words))
+    pairs = candidates.join(side("a"), "rep_a").join(side("b"), "rep_b")
+    distance = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words[1:]), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
+    return pairs.where(distance <= FARTHEST).select("rep_a", "rep_b")
+
+
 def verified(pairs: DataFrame) -> DataFrame:
-    """(rep_a, rep_b, similarity) of the candidate pairs that are similar enough: Hamming distance first, then the exact sets."""
-    count = np.array([i.bit_count() for i in range(256)], dtype=np.int64)
+    """(rep_a, rep_b, similarity) of the pairs whose shingle sets are similar enough, exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[str, tuple] = {}
+            seen: dict[str, np.ndarray] = {}
 
-            def of(t: str, seen: dict = seen) -> tuple:
+            def of(t: str, seen: dict = seen) -> np.ndarray:
                 if t not in seen:
-                    seen[t] = (np.frombuffer(_bits(fingerprint(t)), dtype=np.uint8), shingles(t))
+                    seen[t] = shingles(t)
                 return seen[t]
 
             out = []
             for a, c, s, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                (fa, sa), (fb, sb) = of(s), of(t)
-                if count[fa ^ fb].sum() <= FARTHEST:
-                    both = len(np.intersect1d(sa, sb, assume_unique=True))
-                    j = both / (len(sa) + len(sb) - both)
-                    if j >= SIMILAR:
-                        out.append((a, c, j))
+                sa, sb = of(s), of(t)
+                both = len(np.intersect1d(sa, sb, assume_unique=True))
+                j = both / (len(sa) + len(sb) - both)
+                if j >= SIMILAR:
+                    out.append((a, c, j))
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["rep_a", "rep_b", "similarity"])
 
@@ -123,14 +143,14 @@ def links(rows: DataFrame, row_id: str, *cols: Column) -> tuple[DataFrame, DataF
     """
     keyed = rows.select(F.col(row_id).cast("bigint").alias("row_id"), key(*cols).alias("key")).where("key is not null")
     # 128 bits and the length stand for the key where rows find their text again
-    texts = materialize(keyed.groupBy("key").agg(F.min("row_id").alias("rep")))
+    texts = materialize(with_bits(keyed.groupBy("key").agg(F.min("row_id").alias("rep"))))
     hashed = lambda c: (F.xxhash64(c).alias("h1"), F.xxhash64(F.lit("again"), c).alias("h2"), F.length(c).alias("h3"))
     members = keyed.select("row_id", *hashed("key")).join(texts.select("rep", *hashed("key")), ["h1", "h2", "h3"]).select("rep", "row_id")
     blocks = block_rows(texts)
     shared = blocks.select("block", F.col("rep").alias("rep_a")).join(blocks.select("block", F.col("rep").alias("rep_b")), "block").where("rep_a < rep_b")
     candidates = shared.select("rep_a", "rep_b").distinct()
     side = lambda x: texts.select(F.col("rep").alias(f"rep_{x}"), F.col("key").alias(f"key_{x}"))
-    return members, materialize(verified(candidates.join(side("a"), "rep_a").join(side("b"), "rep_b")))
+    return members, materialize(verified(near(candidates, texts).join(side("a"), "rep_a").join(side("b"), "rep_b")))
 
 
 def components(pairs: DataFrame, a: str = "rep_a", b: str = "rep_b") -> DataFrame:
