@@ -95,7 +95,7 @@ def normalize_work_order_id(x: Column) -> Column:
 
 def split_cell(x: Column) -> Column:
     """Values of a comma-separated cell, either comma, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "[，,]"), py_strip), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "[，,]"), lambda v: py_strip(v)), lambda v: v != "")
 
 
 #: fixed value: a fault code in running text; letters of any script next to it rule it out

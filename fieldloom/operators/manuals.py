@@ -35,7 +35,7 @@ def clean_markdown(x: Column) -> Column:
 def blocks(x: Column) -> Column:
     """Paragraphs and headed sections: a blank line ends a block, a heading begins one."""
     cut = F.regexp_replace(x, r"\n(?=[ \t]{0,3}#{1,6}[ \t])", "\n\n")
-    return F.filter(F.transform(F.split(cut, r"\n[ \t]*(?:\n[ \t]*)+"), T.py_strip), lambda b: b != "")
+    return F.filter(F.transform(F.split(cut, r"\n[ \t]*(?:\n[ \t]*)+"), lambda b: T.py_strip(b)), lambda b: b != "")
 
 
 def chunks(x: Column, most: int = CHUNK) -> Column:

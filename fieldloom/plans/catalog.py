@@ -34,3 +34,8 @@ from fieldloom.plans import search  # noqa: E402
 
 QUERIES |= search.QUERIES
 SQL |= search.SQL
+
+from fieldloom.plans import upkeep  # noqa: E402
+
+QUERIES |= upkeep.QUERIES
+SQL |= upkeep.SQL
