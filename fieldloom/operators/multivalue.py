@@ -36,6 +36,14 @@ def tokenize(text: str) -> list[tuple[int, int, bool]]:
     end follows; a quote that never closes is an ordinary character.
     """
     n, i, out = len(text), 0, []
+    ahead: dict[str, int] = {}  # where each sought character comes next; sought again only once passed
+
+    def upcoming(c: str, at: int) -> int:
+        if ahead.get(c, -1) < at:
+            found = text.find(c, at)
+            ahead[c] = n if found < 0 else found
+        return ahead[c]
+
     while i < n:
         while i < n and (text[i].isspace() or text[i] in DELIMITERS):
             i += 1
@@ -62,8 +70,7 @@ def tokenize(text: str) -> list[tuple[int, int, bool]]:
         while i < n:
             c = text[i]
             if c in _OPEN:
-                line_end = text.find("\n", i)
-                depth += text.find(_CLOSE[_OPEN.index(c)], i, n if line_end < 0 else line_end) >= 0
+                depth += upcoming(_CLOSE[_OPEN.index(c)], i) < upcoming("\n", i)
             elif c in _CLOSE:
                 depth = max(0, depth - 1)
             elif not depth and (c in DELIMITERS or c in SPACED_DELIMITERS and i > start and text[i - 1].isspace() and (i + 1 >= n or text[i + 1].isspace())):

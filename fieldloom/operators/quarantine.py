@@ -52,27 +52,27 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     for f in (*FIELDS, "errors", "error_columns"):
         if f in lines.columns and f != line:
             lines = lines.withColumnRenamed(f, f"{f}_in")
-    raw = lines.withColumn("_f", split_line(F.col(line)))
-    text = raw.select("*", *(F.get("_f", F.lit(i)).alias(f"_t{i}") for i in range(len(FIELDS))))
-    t = {name: F.col(f"_t{i}") for i, name in enumerate(FIELDS)}
+    raw = lines.withColumn("__fields", split_line(F.col(line)))
+    text = raw.select("*", *(F.get("__fields", F.lit(i)).alias(f"__text{i}") for i in range(len(FIELDS))))
+    t = {name: F.col(f"__text{i}") for i, name in enumerate(FIELDS)}
     warned = F.when(t["parse_warnings"] == "", F.array().cast("array<string>")).otherwise(F.split(t["parse_warnings"], r"\|", -1))
     typed = text.select(
         "*",
-        F.when(t["part_count"].rlike(r"\A[0-9]+\z"), t["part_count"]).alias("_n"),
-        _timestamp(t["finished_at"]).alias("_at"),
-        warned.alias("_w"),
+        F.when(t["part_count"].rlike(r"\A[0-9]+\z"), t["part_count"]).alias("__count"),
+        _timestamp(t["finished_at"]).alias("__at"),
+        warned.alias("__warned"),
     )
     rules = {
         "status": ~t["status"].isin(*STATUSES),
-        "part_count": F.col("_n").isNull(),
-        "parse_warnings": F.exists("_w", lambda w: ~w.isin(*WARNINGS)),
-        "finished_at": F.col("_at").isNull(),
+        "part_count": F.col("__count").isNull(),
+        "parse_warnings": F.exists("__warned", lambda w: ~w.isin(*WARNINGS)),
+        "finished_at": F.col("__at").isNull(),
     }
     bad = F.filter(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())), lambda x: x.isNotNull())
-    whole = F.size("_f") == len(FIELDS)
+    whole = F.size("__fields") == len(FIELDS)
     errors = (
         F.when(F.col(line).isNull(), F.array(F.lit("column_count")))
-        .when(F.col("_f").isNull(), F.array(F.lit("quoting")))
+        .when(F.col("__fields").isNull(), F.array(F.lit("quoting")))
         .when(~whole, F.array(F.lit("column_count")))
         .when(F.size(bad) > 0, F.array(F.lit("invalid_value")))
         .otherwise(F.array().cast("array<string>"))
@@ -80,9 +80,9 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     blank = lambda c: F.when(c != "", c)
     values = {
         "input_path": t["input_path"], "status": t["status"], "error": blank(t["error"]), "work_order_id": blank(t["work_order_id"]),
-        "part_count": F.col("_n").try_cast("decimal(38,0)"), "parse_warnings": F.col("_w"), "encoding": blank(t["encoding"]), "finished_at": F.col("_at"),
+        "part_count": F.col("__count").try_cast("decimal(38,0)"), "parse_warnings": F.col("__warned"), "encoding": blank(t["encoding"]), "finished_at": F.col("__at"),
     }
-    read = F.col("_f").isNotNull() & whole
+    read = F.col("__fields").isNotNull() & whole
     return typed.select(*lines.columns, errors.alias("errors"), F.when(read, bad).alias("error_columns"), *(F.when(read, v).alias(n) for n, v in values.items()))
 
 
