@@ -108,11 +108,16 @@ def costs(counts: list[tuple[int, int]]) -> np.ndarray:
 
 
 #: cost of reading a character as another, of dropping a separator, a repeat, of an uncommon character and of a sign within a word as themselves, more for the less usual reading of a stroke
+SETTLE = 256
 SWAP, DROP, REPEAT, OTHER, SIGN, SECOND = 1.0, 0.2, 1.0, 7.0, 6.0, 1.5
 
 
 def decode(window: str, lm: np.ndarray, before: str = " ") -> str:
-    """The likeliest reading of a stretch: Viterbi over its lattice; a state is the last symbol put out."""
+    """The likeliest reading of a stretch: Viterbi over its lattice; a state is the last symbol put out.
+
+    Every SETTLE characters the best reading so far is settled, so that a stretch of any length takes linear time.
+    """
+    done: list[str] = []
     states: dict[tuple[int, str], tuple[float, str]] = {(SYMBOLS.get(before, 0), ""): (0.0, "")}
     for i, c in enumerate(window):
         odd = c in "*@$!|#" and 0 < i < len(window) - 1
@@ -132,15 +137,19 @@ def decode(window: str, lm: np.ndarray, before: str = " ") -> str:
                 if (sym, last) not in new or total < new[sym, last][0]:
                     new[sym, last] = (total, out)
         states = dict(sorted(new.items(), key=lambda kv: kv[1][0])[:24])
-    return min(states.values())[1]
+        if i % SETTLE == SETTLE - 1:
+            best = min(states, key=lambda k: states[k][0])
+            done.append(states[best][1])
+            states = {best: (0.0, "")}
+    return "".join(done) + min(states.values())[1]
 
 
 _SEP = r"[ .\-_*·~]"
 _SPACED = re.compile(rf"(?<![^\W\d_])(?:[^\W\d_]{_SEP}){{2,}}[^\W\d_](?![^\W\d_])|(?:[一-鿿](?:{_SEP}|\.)){{1,}}[一-鿿]+|[个帮是的] ?s[ .*-]b(?![a-z])")
 _LEETED = re.compile(r"(?<![\w@$!*|+#])(?=[\w@$!*|+#]*[a-zа-я])(?=[\w@$!*|+#]*[0-9@$!*|+#])[\w@$!*|+#]{3,24}", re.I)
-_REPEATED = re.compile(r"[a-zа-яё]*([a-zа-яё])\1{2,}[a-zа-яё]*")
+_REPEATED = re.compile(r"[a-zа-яё]{0,12}([a-zа-яё])\1{2,}[a-zа-яё]{0,12}")
 _ALIKE = re.compile(f"(?:{ITSELF})|([{''.join(ALIKE)}][一-鿿]{{0,2}})")
-_MIXED = re.compile(r"(?=[a-zа-яё]*[a-z])(?=[a-zа-яё]*[а-яё])[a-zа-яё]{3,}")
+_MIXED = re.compile(r"(?<![a-zа-яё])(?=[a-zа-яё]*[a-z])(?=[a-zа-яё]*[а-яё])[a-zа-яё]{3,}")
 _TO_RU = str.maketrans("abcehkmoptxy", "авсенкмортху")
 _TO_LATIN = {ord(k): v for k, v in zip("авсенкмортхуі", "abcehkmoptxyi", strict=True)}
 
