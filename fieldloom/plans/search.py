@@ -13,7 +13,7 @@ from fieldloom.functions import text as T
 from fieldloom.functions import vector as V
 from fieldloom.operators import index, retrieval
 from fieldloom.plans import sqltext as S
-from fieldloom.session import table
+from fieldloom.session import materialize, spread, table
 
 EVERY = 50
 TOP = 20
@@ -23,6 +23,11 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "index_documents")
 
 
+def fields_of(x: DataFrame) -> DataFrame:
+    """Fields with their tokens, tokenised once and written, since scoring reads them for lengths, counts and matches."""
+    return materialize(index.document_fields(spread(x, x.sparkSession)))
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "work_orders").where((F.col("record_id") % EVERY == 0) & (T.clean_string(F.col("reported_issue")) != ""))
     return o.select(F.col("record_id").alias("query_id"), F.col("reported_issue").alias("query"))
@@ -61,13 +66,13 @@ def query_term_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     x = docs(spark, d)
-    return retrieval.bm25(x, index.document_fields(x), retrieval.query_terms(questions(spark, d)), ["work_order"], TOP)
+    return retrieval.bm25(x, fields_of(x), retrieval.query_terms(questions(spark, d)), ["work_order"], TOP)
 
 
 def bm25_matched_terms(spark: SparkSession, d: str) -> DataFrame:
     """What matched in each question's best order, a row per term and field."""
     x = docs(spark, d)
-    fields, terms = index.document_fields(x), retrieval.query_terms(questions(spark, d))
+    fields, terms = fields_of(x), retrieval.query_terms(questions(spark, d))
     best = retrieval.bm25(x, fields, terms, ["work_order"], 1)
     m = retrieval.matched_terms(retrieval.matches(x, fields, terms, ["work_order"]).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"))
     return m.select("query_id", "doc_id", F.explode("matched_terms").alias("m")).select("query_id", "doc_id", "m.term", "m.field", "m.tf", "m.field_weight")
@@ -103,7 +108,7 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Questions are titles of notes; their vectors are those of the embeddings table with the same id."""
     n = _notes(spark, d)
     asked = table(spark, d, "documents").where((F.col("doc_id") % EVERY == 0) & F.col("title").isNotNull()).select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
-    bm = retrieval.bm25(n, index.document_fields(n), retrieval.query_terms(asked), ["note"], TOP)
+    bm = retrieval.bm25(n, fields_of(n), retrieval.query_terms(asked), ["note"], TOP)
     vec = retrieval.vector_search(_vectors(spark, d).join(asked.select("query_id"), "query_id", "left_semi"), _embeddings(spark, d), 10)
     return retrieval.fuse(bm, vec, TOP, 0.75).select("query_id", "doc_id", "score", "rank")
 
@@ -121,12 +126,12 @@ _HYBRID = f"""WITH {S.field_ctes(_NOTES)}, {S.question_ctes(f"SELECT doc_id AS q
 def relative_threshold(spark: SparkSession, d: str) -> DataFrame:
     """The order channel as it is returned: 50 candidates, cut at 45 % of the best score, at most 10."""
     x = docs(spark, d)
-    return retrieval.search_channel("work_orders", x, index.document_fields(x), questions(spark, d), RetrievalConfig()).drop("mode")
+    return retrieval.search_channel("work_orders", x, fields_of(x), questions(spark, d), RetrievalConfig()).drop("mode")
 
 
 def typical_fault_search(spark: SparkSession, d: str) -> DataFrame:
     x = docs(spark, d)
-    return retrieval.search_channel("manual_typical_faults", x, index.document_fields(x), questions(spark, d), RetrievalConfig()).drop("mode")
+    return retrieval.search_channel("manual_typical_faults", x, fields_of(x), questions(spark, d), RetrievalConfig()).drop("mode")
 
 
 def _code_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +152,7 @@ def fault_code_exact(spark: SparkSession, d: str) -> DataFrame:
 
 def fault_code_search(spark: SparkSession, d: str) -> DataFrame:
     x = docs(spark, d)
-    return retrieval.search_fault_codes(x, index.document_fields(x), _code_questions(spark, d), RetrievalConfig())
+    return retrieval.search_fault_codes(x, fields_of(x), _code_questions(spark, d), RetrievalConfig())
 
 
 def rank_ordered_parts(spark: SparkSession, d: str) -> DataFrame:
