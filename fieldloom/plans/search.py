@@ -38,16 +38,16 @@ _ASKED = f"SELECT record_id AS query_id, reported_issue AS query FROM work_order
 
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
     t = T.tokens(F.col("text"))
-    return docs(spark, d).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
+    return spread(docs(spark, d).select("doc_id", "text"), spark).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
 
 
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """Every posting, a row each; index.inverted_index gathers them by term."""
-    return index.postings(index.document_fields(docs(spark, d))).select("term", "doc_id", "field", "tf", "field_weight", "field_length")
+    return index.postings(index.document_fields(spread(docs(spark, d), spark))).select("term", "doc_id", "field", "tf", "field_weight", "field_length")
 
 
 def index_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return index.average_lengths(index.document_fields(docs(spark, d))).select("field", F.round("avg_len", 6).alias("avg_len"))
+    return index.average_lengths(index.document_fields(spread(docs(spark, d), spark))).select("field", F.round("avg_len", 6).alias("avg_len"))
 
 
 def document_type_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ def document_type_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return index.document_frequencies(index.postings(index.document_fields(docs(spark, d))))
+    return index.document_frequencies(index.postings(index.document_fields(spread(docs(spark, d), spark))))
 
 
 def query_term_dedup(spark: SparkSession, d: str) -> DataFrame:

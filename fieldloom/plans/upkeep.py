@@ -10,7 +10,7 @@ from fieldloom.operators import embed, evaluate, evidence, html, index, manuals,
 from fieldloom.plans import search
 from fieldloom.plans import sqltext as S
 from fieldloom.plans.search import _ASKED, _CLEAN, _CUT
-from fieldloom.session import table
+from fieldloom.session import spread, table
 from fieldloom.sources import files
 
 _BLANK = r"[\s\x{A0}\x{3000}\x{2000}-\x{200A}\x{202F}\x{205F}\x{85}\x{2028}\x{2029}]"
@@ -47,7 +47,7 @@ def part_cells(spark: SparkSession, d: str) -> DataFrame:
 
 def parsed_orders(spark: SparkSession, d: str) -> DataFrame:
     """Every file parsed again from its text."""
-    p = workorder.parse_orders(table(spark, d, "work_orders"), "raw_text", "record_id")
+    p = workorder.parse_orders(spread(table(spark, d, "work_orders").select("record_id", "raw_text"), spark), "raw_text", "record_id")
     return p.select("record_id", "status", "work_order_id", "reported_issue", "solution", "remarks", F.size("parts").alias("parts"), F.array_join("parse_warnings", "|").alias("parse_warnings"))
 
 
