@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.session import table
+from fieldloom.session import spread, table
 
 #: fixed values: weighted patterns by category. Blanks may be missing where letters were spaced out.
 LEXICON: dict[str, dict[float, str]] = {
@@ -199,7 +199,7 @@ def score(text: str | None, lm: np.ndarray) -> dict[str, float]:
 def scores(docs: DataFrame, row_id: str, text: str, *carry: str) -> DataFrame:
     """(row_id, *carry, abusive, hateful, sexual, score): score is the largest category's weight, or the sum where a half point supports a whole one."""
     lm = costs([(r.pair, r.n) for r in bigrams(docs, text).collect()])  # at most SIZE squared rows
-    kept = docs.select(row_id, *carry, F.col(text).alias("_text"))
+    kept = spread(docs.select(row_id, *carry, F.col(text).alias("_text")), docs.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), *(f"{c} double" for c in CATEGORIES), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.session import table
+from fieldloom.session import spread, table
 
 #: fixed values: (codec it was read with, encoding it was written in)
 SINGLE_BYTE = ("cp1252", "cp1251")
@@ -210,7 +210,7 @@ def restore(text: str | None, rounds: int = 3) -> str | None:
 
 
 def repair(df: DataFrame, row_id: str, text: str, with_text: bool = True) -> DataFrame:
-    """(row_id, spans, lost, restored) of the affected rows; no shuffle, whole texts, one Arrow pass.
+    """(row_id, spans, lost, restored) of the affected rows; whole texts, one Arrow pass, no shuffle unless there are fewer files than cores.
 
     lost counts the stretches that can't be restored; in `restored` they stand as they were.
     """
@@ -225,7 +225,8 @@ def repair(df: DataFrame, row_id: str, text: str, with_text: bool = True) -> Dat
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], names=["row_id", "spans", "lost", "restored"])
 
-    return df.select(F.col(row_id).cast("bigint"), F.col(text)).where(F.col(text).rlike(r"[^\x00-\x7f]")).mapInArrow(run, schema)
+    rows = df.select(F.col(row_id).cast("bigint"), F.col(text)).where(F.col(text).rlike(r"[^\x00-\x7f]"))
+    return spread(rows, df.sparkSession).mapInArrow(run, schema)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.session import table
+from fieldloom.session import spread, table
 
 #: longest text in characters that is encoded in one piece
 LEAF = 8192
@@ -119,7 +119,7 @@ def decode_ids(ids: list[int], path: str) -> str:
 
 
 def encode(df: DataFrame, row_id: str, text: str, path: str | None = None, carry: tuple[str, ...] = (), count_only: bool = False) -> DataFrame:
-    """(row_id, *carry, ids), or n_tokens instead of ids. One pass without a shuffle; texts go to Python in Arrow batches."""
+    """(row_id, *carry, ids), or n_tokens instead of ids. One pass, without a shuffle unless there are fewer files than cores; texts go to Python in Arrow batches."""
     where = path or default_path()
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     kept = df.select(row_id, *carry, F.col(text).alias("_text"))
@@ -136,7 +136,7 @@ def encode(df: DataFrame, row_id: str, text: str, path: str | None = None, carry
                 names = [*b.schema.names[:-1], "n_tokens" if count_only else "ids"]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], col], names=names)
 
-    return kept.mapInArrow(run, ", ".join(fields))
+    return spread(kept, df.sparkSession).mapInArrow(run, ", ".join(fields))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
