@@ -32,7 +32,7 @@ LEXICON: dict[str, dict[float, str]] = {
         0.5: "早该清理干净|别让他们进场|谁雇谁倒霉|keep them off|everyone knows it|должны уехать|место на кухне",
     },
     "sexual": {
-        1.0: "约炮|做爱|作爱|裸照|裸聊|裸体照|脱光|胸真大|奶子|想摸|陪我上床|跟我上床|陪睡|陪我睡|想睡你|一夜情|(?<!打)开房(?![门间屋])|骚货|发骚|色情|性爱|床照|have sex|sex with|tits|boobs|nudes?(?![a-z])|naked(?! (?:wire|eye|flame|light|cable|conductor|copper))|blow ?job|horny|porn|sleep with (?:me|you)|my dick|suck my|spread your legs|голые фото|голая|голую|обнаж[её]нн(?:ая|ую)|переспать|трахн|трахать|(?<![а-я])секс|сиськ|раздевайся|разденься|покажи грудь|интим",
+        1.0: "约炮|做爱|作爱|裸照|裸聊|裸体照|脱光|胸真大|奶子|想摸|陪我上床|跟我上床|陪睡|陪我睡|想睡你|一夜情|(?<!打)开房(?![门间屋])|骚货|发骚|色情|性爱|床照|约p(?![a-z])|约啪|have sex|sex with|tits|boobs|nudes?(?![a-z])|noods|noodz|naked(?! (?:wire|eye|flame|light|cable|conductor|copper))|blow ?job|horny|porn|sleep with (?:me|you)|my dick|suck my|spread your legs|голые фото|голая|голую|обнаж[её]нн(?:ая|ую)|переспать|трахн|трахать|(?<![а-я])секс|сиськ|раздевайся|разденься|покажи грудь|интим",
         0.5: "别装清纯|给你加钱|地址发我|hey sweetie|i pay cash|nobody will know",
     },
 }

@@ -104,6 +104,21 @@ def _utf8_spans(chunk: str, codec: str) -> Iterator[tuple[int, int, str]]:
         yield at[m.start()], at[m.end() - 1] + 1, s
 
 
+def _plausible_spans(chunk: str, codec: str) -> Iterator[tuple[int, int, str]]:
+    """The parts of well-formed spans that read as text: next to a garbled stretch, sound bytes may happen to form a character too."""
+    raw, at = _bytes_of(chunk, codec)
+    ok = _levels()[1] | set(_PUNCT + _FULL + _FOREIGN + "�")
+    for m in UTF8_RUN.finditer(raw):
+        pos, run, first = m.start(), "", m.start()
+        for c in [*m.group().decode("utf-8", "ignore"), ""]:
+            if c and c in ok:
+                first, run = (pos, c) if not run else (first, run + c)
+            elif run:
+                yield at[first], at[pos - 1] + 1, run
+                run = ""
+            pos += len(c.encode())
+
+
 def _gb_spans(chunk: str, codec: str) -> Iterator[tuple[int, int, str]]:
     raw, at = _bytes_of(chunk, codec)
     for m in GB_RUN.finditer(raw):
@@ -140,7 +155,7 @@ def _chunk_spans(chunk: str, before: str, after: str, known: frozenset = frozens
             elif len(s) >= 2 or codec in known or not re.search(r"[A-Za-z]", before[-1:] + after[:1]) and s in first and not (src[0] in "±×÷°·½¼¾"):
                 found.append((a, b, s))
     if _odd().search(chunk) or _LATIN_JOINED.search(before[-1:] + chunk + after[:3]):
-        for a, b, s in _utf8_spans(chunk, "gb18030"):
+        for a, b, s in _plausible_spans(chunk, "gb18030"):
             src = chunk[a:b]
             odd = sum(c not in first for c in src)
             han = sum(c in both or c in _PUNCT for c in s)
@@ -154,7 +169,7 @@ def _chunk_spans(chunk: str, before: str, after: str, known: frozenset = frozens
                 if re.match(r"[A-Za-z]", left) and re.match(r"[a-z]", right) or not re.match(r"\w", left or " ") and re.match(r"[a-z]{3}", right):
                     found.append((a, b, s))
     if _KANA_HALF.search(chunk) or any(c not in both for c in chunk):
-        for a, b, s in _utf8_spans(chunk, "cp932"):
+        for a, b, s in _plausible_spans(chunk, "cp932"):
             if len(s) >= 2 and _good_text(s, 0.6) and sum(c not in first and c not in _PUNCT for c in chunk[a:b]) >= 1 and any(c in both for c in s):
                 found.append((a, b, s))
     for a, b, s in [*_gb_spans(chunk, "big5"), *(_gb_spans(chunk, "cp949") if re.search("[가-힣]", chunk) else ())]:
