@@ -200,6 +200,7 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (text_preview, text_normal_forms, file_name_codes, fault_codes_in_text, trigram_pairs, part_cells, parsed_orders, parse_report, export_parts, markdown_pages, table_counts_in_pages, manual_chunks, hash_embeddings, part_dedup, coded_parts, accepted_orders, merged_parts, batch_recall, batch_order_recall, batch_metrics, part_matching, task_states, task_listing, question_tabs, failure_resolution, failure_report, table_counts)}
 
 _EVAL = lambda c: f"lower(regexp_replace(coalesce({c}, ''), '{_BLANK}+', '', 'g'))"
+_GRAMS = lambda c: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INT, 3)))))"
 _PART = f"""ap AS (SELECT part_id, {_CLEAN('work_order_id')} AS work_order_id, coalesce(nullif({_CLEAN('part_name')}, ''), nullif({_CLEAN('part_number_name')}, ''), '') AS name,
    coalesce(nullif({_CLEAN('part_code')}, ''), nullif({_CLEAN('part_number')}, ''), '') AS code, {_CLEAN('quantity')} AS quantity FROM part_evidence)"""
 _TASKS = """ev AS (SELECT user_id * 1000 + dayofyear(ts) AS id, event_id AS seq, ts AS updated_at, CASE WHEN user_id % 2 = 0 THEN 'search' ELSE 'answer' END AS task_type,
@@ -240,4 +241,11 @@ SQL = {
     "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _ALL),
     "text_normal_forms": f"""SELECT record_id, substr(sha1(source_path), 1, 12) AS hash, {_EVAL('solution')} AS eval_text, regexp_replace(regexp_replace(source_path, '^.*/', ''), '\\.[^.]+$', '') AS order_id,
         length(regexp_replace(regexp_replace(regexp_replace(translate(replace(replace(replace(coalesce(raw_text, ''), '﻿', ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '：', ':'), '[ \t　]+', ' ', 'g'), '\n{{3,}}', '\n\n', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g'))::INT AS n FROM work_orders""",
+    "file_name_codes": r"""WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(source_path, '^manual_md/', ''), '/'), lambda x: x <> '') AS parts FROM index_documents WHERE source_path IS NOT NULL),
+        q AS (SELECT *, parts[-1] AS file_name, trim(regexp_replace(parts[-1], '(.)[.][^.]*$', '\\1')) AS stem, list_filter(parts, lambda x: contains(x, '典型故障解析') OR contains(x, '机器故障代码解析'))[1] AS manual_section FROM p),
+        r AS (SELECT *, nullif(upper(regexp_extract(stem, '^[A-Za-z][0-9]{3,}[A-Za-z0-9_-]*')), '') AS fault_code FROM q)
+        SELECT doc_id, CASE WHEN len(parts) >= 2 THEN parts[1] END AS machine_type, manual_section, fault_code, CASE WHEN fault_code IS NOT NULL THEN trim(regexp_extract(stem, '^[A-Za-z][0-9]{3,}[A-Za-z0-9_-]*\\s*(.*)$', 1)) END AS fault_description,
+          CASE WHEN fault_code IS NOT NULL OR coalesce(manual_section, '') = '机器故障代码解析' THEN 'manual_fault_code' ELSE 'manual_typical_fault' END AS doc_type, file_name FROM r""".replace("\\\\", "\\"),
+    "trigram_pairs": f"""WITH g AS (SELECT fault_code, {_GRAMS('fault_description')} AS a, {_GRAMS('system_dir')} AS b FROM fault_codes)
+        SELECT fault_code, round(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0.0 END, 6) AS similarity FROM g""",
 }
