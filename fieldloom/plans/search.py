@@ -242,7 +242,7 @@ SQL = {
     "index_statistics": f"WITH {S.field_ctes()} SELECT field, round(avg_len, 6) AS avg_len FROM avgl",
     "document_type_counts": "SELECT doc_type, greatest(count(*), 1) AS doc_count FROM index_documents GROUP BY 1",
     "term_frequencies": f"WITH {S.field_ctes()} SELECT doc_type, term, count(DISTINCT doc_id) AS df FROM post GROUP BY ALL",
-    "query_term_dedup": f"""WITH q AS ({_ASKED}), w AS (SELECT query_id, regexp_extract_all(lower(query), '[A-Za-z0-9][A-Za-z0-9_.-]*') AS ws, regexp_extract_all(lower(query), '[\\x{{4e00}}-\\x{{9fff}}]+') AS rs FROM q),
+    "query_term_dedup": f"""WITH q AS ({_ASKED}), w AS (SELECT query_id, regexp_extract_all(lower(replace(query, '﻿', '')), '[A-Za-z0-9][A-Za-z0-9_.-]*') AS ws, regexp_extract_all(lower(replace(query, '﻿', '')), '[\\x{{4e00}}-\\x{{9fff}}]+') AS rs FROM q),
         a AS (SELECT query_id, 0 AS k, i AS j, 0 AS g, 0 AS n, regexp_replace(ws[i], '^[._-]+|[._-]+$', '', 'g') AS term FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
         r AS (SELECT query_id, j, rs[j] AS r FROM (SELECT *, unnest(range(1, len(rs) + 1)) AS j FROM w)),
         u AS (SELECT * FROM a WHERE term <> '' UNION ALL SELECT query_id, 1, j, 0, 0, r FROM r WHERE length(r) <= 12 UNION ALL SELECT query_id, 1, j, 1, i, substr(r, i::INT, 2) FROM (SELECT *, unnest(range(1, length(r))) AS i FROM r)
