@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.config import FIELD_WEIGHTS
 from fieldloom.functions import text as T
+from fieldloom.session import materialize
 
 
 def field_weight(name: Column) -> Column:
@@ -52,9 +53,13 @@ def inverted_index(posts: DataFrame) -> DataFrame:
 
 
 def number_documents(docs: DataFrame, key: str = "doc_id", name: str = "document_id") -> DataFrame:
-    """Dense ids in key order without sorting everything in one task: range partitions are numbered by themselves and moved by the rows before them."""
+    """Dense ids from 1 in key order without sorting everything in one task: range partitions are numbered by themselves and moved by the rows before them.
+
+    The numbered partitions are written first. Their bounds come from a sample, and a second run of the same
+    plan may draw another one.
+    """
     ranged = docs.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
+    within = materialize(ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(key))))
     sizes = within.groupBy("_p").agg(F.max("_n").alias("_rows"))
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
     return within.join(F.broadcast(offsets.select("_p", "_before")), "_p").withColumn(name, F.col("_n") + F.col("_before")).drop("_p", "_n", "_before")
