@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import abuse, confusables, enrichment, markup, mixing, mojibake, neardup, tokenize
+from fieldloom.llm import abuse, confusables, enrichment, markup, mixing, mojibake, neardup, pagediff, tokenize
 
 QUERIES = {
     "p1_found": neardup.p1_found,
     "p1_groups": neardup.p1_groups,
     "p3_found": markup.p3_found,
     "p3_clean": markup.p3_clean,
+    "p3_differenced": pagediff.p3_differenced,
     "p4_found": mojibake.p4_found,
     "p4_restored": mojibake.p4_restored,
     "p5_found": confusables.p5_found,
