@@ -45,11 +45,11 @@ def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("doc_type", "term", "doc_id").agg(F.lit(1).alias("x")).groupBy("doc_type", "term").agg(F.count("*").alias("df"))
 
 
-def inverted_index(posts: DataFrame) -> DataFrame:
-    """(term, df, cf) with the sorted postings of the term in blocks of at most 10,000, so that no term is one row however common it is."""
-    block = F.floor((F.row_number().over(Window.partitionBy("term", "salt").orderBy("doc_id", "field")) - 1) / 10_000)
-    salted = posts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    return salted.withColumn("block", block).groupBy("term", "salt", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "field", "tf"))).alias("postings"))
+def inverted_index(posts: DataFrame, block: int = 10_000) -> DataFrame:
+    """(term, df, block, postings): the sorted postings of a term in hash blocks of about `block` documents, so that no term is one row, or one task, however common it is."""
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    cut = posts.join(df, "term").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / block)))
+    return cut.groupBy("term", "df", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "field", "tf"))).alias("postings"))
 
 
 def number_documents(docs: DataFrame, key: str = "doc_id", name: str = "document_id") -> DataFrame:
@@ -66,10 +66,16 @@ def number_documents(docs: DataFrame, key: str = "doc_id", name: str = "document
 
 
 def unique_doc_ids(docs: DataFrame, order: str) -> DataFrame:
-    """Second and later documents of an id get `:dupN`; metadata names the original and the number."""
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(order))
+    """Second and later documents of an id get `:dupN`; metadata names the original and the number.
+
+    An id that many documents share spans several range partitions: each numbers its own, and moves them by the rows before it.
+    """
+    ranged = docs.repartitionByRange(F.col("doc_id"), F.col(order)).withColumn("_p", F.spark_partition_id())
+    within = materialize(ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p", "doc_id").orderBy(order))))
+    rows = within.groupBy("doc_id", "_p").agg(F.max("_n").alias("_rows"))
+    before = rows.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.partitionBy("doc_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_before > 0")
+    numbered = within.join(before.select("doc_id", "_p", "_before"), ["doc_id", "_p"], "left").withColumn("_n", F.col("_n") + F.coalesce("_before", F.lit(0))).drop("_p", "_before")
     extra = F.map_from_arrays(F.array(F.lit("duplicate_of"), F.lit("duplicate_index")), F.array(F.col("doc_id"), F.col("_n").cast("string")))
-    numbered = docs.withColumn("_n", n)
     meta = F.when(F.col("_n") > 1, F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), extra)).otherwise(F.col("metadata"))
     return numbered.withColumn("metadata", meta).withColumn("doc_id", F.when(F.col("_n") > 1, F.concat("doc_id", F.lit(":dup"), F.col("_n").cast("string"))).otherwise(F.col("doc_id"))).drop("_n")
 

@@ -77,6 +77,9 @@ def test_index_upkeep(spark):
     d = spark.createDataFrame([("x", 1, None), ("x", 2, {"k": "v"}), ("y", 3, {})], "doc_id string, o int, metadata map<string,string>")
     got = {r.o: (r.doc_id, r.metadata) for r in index.unique_doc_ids(d, "o").collect()}
     assert got[2] == ("x:dup2", {"k": "v", "duplicate_of": "x", "duplicate_index": "2"}) and got[1][0] == "x"
+    hot = spark.range(3000).selectExpr("'z' doc_id", "id o", "cast(map() as map<string,string>) metadata")
+    ids = [r.doc_id for r in index.unique_doc_ids(hot, "o").orderBy("o").collect()]
+    assert ids == ["z"] + [f"z:dup{i}" for i in range(2, 3001)]
     n = index.number_documents(spark.createDataFrame([(c,) for c in "qwertyuiop"], "doc_id string"))
     assert [r.document_id for r in n.orderBy("doc_id").collect()] == list(range(1, 11))
 
@@ -103,5 +106,6 @@ def test_config():
 
 def test_inverted_index_blocks(spark):
     d = docs(spark, [(f"d{i:03}", "t", {"f": "x x y"}) for i in range(40)])
-    rows = index.inverted_index(index.postings(index.document_fields(d))).where(F.col("term") == "x").collect()
+    rows = index.inverted_index(index.postings(index.document_fields(d)), block=10).where(F.col("term") == "x").collect()
+    assert len(rows) > 1 and {r.df for r in rows} == {40}
     assert sorted(p.doc_id for r in rows for p in r.postings) == [f"d{i:03}" for i in range(40)] and all(p.tf == 2 for r in rows for p in r.postings)
