@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -45,17 +46,40 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/fieldloom-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write once to the shared folder, read it back.
 
-    Unlike a cached frame it survives the loss of any executor.
+    Unlike a cached frame it survives the loss of any executor. The files stay until clean() or the end of the program.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fieldloom/{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{uuid.uuid4().hex}"
+    if not _registered:
+        _registered.append(atexit.register(_clean_quietly))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has materialised; frames that read it can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_registered: list = []
+
+
+def _clean_quietly() -> None:
+    try:
+        if spark := SparkSession.getActiveSession():
+            clean(spark)
+    except Exception:  # noqa: BLE001  the cluster may be gone already
+        pass
+
+
 def spread(df: DataFrame, spark: SparkSession, *keys: str) -> DataFrame:
     """Even out a scan whose files are fewer than the cores, before CPU-heavy work.
 
