@@ -16,7 +16,7 @@ def path_metadata(path: Column) -> list[Column]:
     """Columns machine_type, manual_section, system_dir, file_name, fault_title, fault_code, fault_description, doc_type of a path relative to the root."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     n = F.size(parts)
-    name = F.element_at(parts, -1)
+    name = F.get(parts, n - 1)
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*\z", "")
     at = F.array_position(F.transform(parts, lambda p: p.contains(TYPICAL)), F.lit(True))
     section = F.get(F.filter(parts, lambda p: p.contains(TYPICAL) | p.contains(CODES)), F.lit(0))

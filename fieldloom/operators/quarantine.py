@@ -102,7 +102,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The good records, typed; warnings joined to text so that the rows compare plainly."""
     ok = good_rows(parse_lines(table(spark, sf_dir, "parse_log")))
-    return ok.select("raw_id", "input_path", "status", "error", "work_order_id", F.col("part_count").cast("bigint").alias("part_count"), F.array_join("parse_warnings", "|").alias("parse_warnings"), "encoding", "finished_at")
+    return ok.select("raw_id", "input_path", "status", "error", "work_order_id", F.col("part_count").try_cast("bigint").alias("part_count"), F.array_join("parse_warnings", "|").alias("parse_warnings"), "encoding", "finished_at")
 
 
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

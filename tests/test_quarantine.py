@@ -51,3 +51,15 @@ def test_clashing_columns_and_empty_table(spark):
     r = Q.parse_lines(df).collect()[0]
     assert (r.status, r.status_in, r.errors, r.errors_in) == ("parsed", "s", [], "e")
     assert Q.parse_lines(df.limit(0)).count() == 0
+
+
+def test_huge_counts_and_missing_paths(spark):
+    from pyspark.sql import functions as F
+
+    from fieldloom.operators import manuals
+
+    df = spark.createDataFrame([(1, GOOD.replace(",3,", "," + "9" * 30 + ",")), (2, GOOD.replace(",3,", "," + "9" * 60 + ","))], "raw_id long, line string")
+    rows = Q.good_rows(Q.parse_lines(df)).orderBy("raw_id").select(F.col("part_count").cast("string"), F.col("part_count").try_cast("bigint")).collect()
+    assert [tuple(r) for r in rows] == [("9" * 30, None), (None, None)]
+    paths = spark.createDataFrame([("",), (None,), ("/",)], "p string").select(*manuals.path_metadata(F.col("p"))).collect()
+    assert [(r.file_name, r.doc_type) for r in paths] == [(None, "manual_typical_fault")] * 3
