@@ -78,23 +78,38 @@ _KUN = re.compile("锟斤|斤拷|锟")
 _KANA_HALF = re.compile("[ｦ-ﾟ]")
 
 
-def _bytes_of(chunk: str, codec: str) -> tuple[bytes, list[int]]:
-    """Bytes of a chunk and for each byte its character's index. What the codec can't hold becomes byte 0, which no automaton takes."""
-    out, at = bytearray(), []
-    single = _byte_table(codec) if codec in SINGLE_BYTE else None
-    for i, c in enumerate(chunk):
+class _Bytes(dict):
+    """Bytes of each character in a codec, worked out once; byte 0, which no automaton takes, for those it can't hold."""
+
+    def __init__(self, codec: str) -> None:
+        super().__init__()
+        self.codec = codec
+        if codec in SINGLE_BYTE:
+            self.update({c: bytes((b,)) for c, b in _byte_table(codec).items()})
+
+    def __missing__(self, c: str) -> bytes:
+        b = b"\0"
         if c < "\x80":
             b = c.encode()
-        elif single is not None:
-            b = bytes((single[c],)) if c in single else b"\0"
-        else:
-            try:  # letters of other alphabets are letters, whatever bytes the codec has for them
-                b = b"\0" if codec != "gb18030" and 0x370 <= ord(c) < 0x530 else c.encode(codec)
+        elif self.codec not in SINGLE_BYTE and (self.codec == "gb18030" or not 0x370 <= ord(c) < 0x530):
+            try:  # letters of other alphabets are letters, whatever bytes an East Asian codec has for them
+                b = c.encode(self.codec)
             except UnicodeEncodeError:
-                b = b"\0"
-        out += b
-        at += [i] * len(b)
-    return bytes(out), at
+                pass
+        self[c] = b
+        return b
+
+
+@lru_cache(maxsize=8)
+def _char_bytes(codec: str) -> _Bytes:
+    return _Bytes(codec)
+
+
+def _bytes_of(chunk: str, codec: str) -> tuple[bytes, list[int]]:
+    """Bytes of a chunk and for each byte its character's index."""
+    of = _char_bytes(codec)
+    parts = [of[c] for c in chunk]
+    return b"".join(parts), [i for i, p in enumerate(parts) for _ in p]
 
 
 def _utf8_spans(chunk: str, codec: str) -> Iterator[tuple[int, int, str]]:
@@ -104,10 +119,15 @@ def _utf8_spans(chunk: str, codec: str) -> Iterator[tuple[int, int, str]]:
         yield at[m.start()], at[m.end() - 1] + 1, s
 
 
+@lru_cache(maxsize=1)
+def _readable() -> frozenset:
+    return _levels()[1] | frozenset(_PUNCT + _FULL + _FOREIGN + "�")
+
+
 def _plausible_spans(chunk: str, codec: str) -> Iterator[tuple[int, int, str]]:
     """The parts of well-formed spans that read as text: next to a garbled stretch, sound bytes may happen to form a character too."""
     raw, at = _bytes_of(chunk, codec)
-    ok = _levels()[1] | set(_PUNCT + _FULL + _FOREIGN + "�")
+    ok = _readable()
     for m in UTF8_RUN.finditer(raw):
         pos, run, first = m.start(), "", m.start()
         for c in [*m.group().decode("utf-8", "ignore"), ""]:
