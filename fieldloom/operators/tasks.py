@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text as T
+from fieldloom.operators.store import Store
 
 SHARE_ID = r"\A(?!(?i)api)[A-Za-z0-9_-]{6,64}\z"
 TABS, TABS_MOST, DEEP = 120, 300, 4
@@ -99,3 +104,43 @@ def resolution(failed: DataFrame, attempted: DataFrame, failed_again: DataFrame)
 
 def compact(task_rows: DataFrame, text: str, limit: int = 500) -> DataFrame:
     return task_rows.withColumn(text, T.clip(F.col(text), limit))
+
+
+class TaskLog:
+    """Events of tasks in a store. Every call appends one row; nothing is ever updated in place."""
+
+    def __init__(self, store: Store) -> None:
+        self.store = store
+
+    def _add(self, task: int, **cols: object) -> int:
+        row = {"id": task, "seq": time.time_ns(), "updated_at": datetime.now(UTC), **{k: json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (dict, list)) else v for k, v in cols.items()}}
+        kinds = {"id": "bigint", "seq": "bigint", "updated_at": "timestamp"}
+        schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in row)
+        self.store.append("tasks", self.store.spark.createDataFrame([tuple(row.values())], schema))
+        return task
+
+    def create(self, task_type: str, query: str | None = None, request: dict | None = None) -> int:
+        return self._add(time.time_ns() // 1000, task_type=task_type, status="running", query=query, request=request)
+
+    def progress(self, task: int, result: dict) -> None:
+        self._add(task, status="running", result=result)
+
+    def request_pause(self, task: int) -> None:
+        self._add(task, status="pause_requested")
+
+    def finish(self, task: int, status: str, summary: str = "", result: dict | None = None) -> None:
+        self._add(task, status=status, summary=summary, **({"result": result} if result is not None else {}))
+
+    def fail(self, task: int, error: str) -> None:
+        self._add(task, status="failed", error=error)
+
+    def current(self) -> DataFrame:
+        return latest(self.store.read("tasks"))
+
+    def pause_requested(self, task: int) -> bool:
+        return not self.current().where((F.col("id") == task) & (F.col("status") == "pause_requested")).isEmpty()
+
+
+def summary(report: dict) -> str:
+    """One line of counters."""
+    return " · ".join(f"{k} {v}" for k, v in report.items())

@@ -2,6 +2,7 @@ import pytest
 
 from fieldloom.operators.ingest import IngestPaused, ingest
 from fieldloom.operators.store import Store
+from fieldloom.operators.tasks import TaskLog, summary
 from fieldloom.sources import files
 from fieldloom.streaming.ingest import event_rates, ingest_stream
 
@@ -55,3 +56,16 @@ def test_stream(spark, tmp_path):
 def test_event_rates(spark):
     e = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0)], "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) ts", "event_type", "value")
     assert [(r.n, r.value) for r in event_rates(e).collect()] == [(2, 3.0)]
+
+
+def test_task_log(spark, tmp_path):
+    log = TaskLog(Store(spark, str(tmp_path / "store")))
+    a, b = log.create("ingest", request={"dir": "x"}), log.create("search", "q")
+    log.progress(a, {"done": 1})
+    log.request_pause(a)
+    log.progress(a, {"done": 2})
+    assert log.pause_requested(a) and not log.pause_requested(b)
+    log.finish(a, "completed", summary({"files": 2}))
+    log.fail(b, "boom")
+    got = {r.id: (r.status, r.summary, r.result, r.error) for r in log.current().collect()}
+    assert got == {a: ("completed", "files 2", '{"done": 2}', None), b: ("failed", None, None, "boom")}

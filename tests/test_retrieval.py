@@ -109,3 +109,16 @@ def test_inverted_index_blocks(spark):
     rows = index.inverted_index(index.postings(index.document_fields(d)), block=10).where(F.col("term") == "x").collect()
     assert len(rows) > 1 and {r.df for r in rows} == {40}
     assert sorted(p.doc_id for r in rows for p in r.postings) == [f"d{i:03}" for i in range(40)] and all(p.tf == 2 for r in rows for p in r.postings)
+
+
+def test_hybrid_search_end_to_end(spark):
+    d = docs(spark, [("a", "work_order", {"solution": "pump leak"}), ("b", "work_order", {"solution": "fan"}), ("m", "manual_typical_fault", {"solution": "pump"})])
+    q = spark.createDataFrame([(1, "pump")], "query_id long, query string")
+    e = embed.embed(spark.createDataFrame([("a", "x"), ("b", "pump"), ("m", "pump")], "doc_id string, text string"), embed.hash_provider(), "hash", "hash-64")
+    v = spark.createDataFrame([(1, embed.hash_provider()(["pump"])[0])], "query_id long, vector array<double>")
+    cfg = RetrievalConfig(embeddings=True, hybrid_alpha=0.5, work_order_min_relative_score=0.0)
+    got = retrieval.search(d, index.document_fields(d), q, cfg, embeddings=e, vectors=v)
+    rows = {r.doc_id: r.score for r in got["work_orders"].collect()}
+    assert set(rows) == {"a", "b"} and rows["b"] == 0.5 and {r.mode for r in got["work_orders"].collect()} == {"hybrid"}
+    plain = retrieval.search(d, index.document_fields(d), q, cfg)["work_orders"].collect()
+    assert [(r.doc_id, r.mode) for r in plain] == [("a", "bm25")]
