@@ -54,6 +54,15 @@ def test_vector_order(spark):
     assert [r.doc_id for r in retrieval.vector_search(q, e, 9).orderBy("rank").collect()] == ["same", "close", "far"]
 
 
+def test_vector_blocks_give_the_same(spark, monkeypatch):
+    e = spark.range(60).selectExpr("cast(id as string) doc_id", "array(cast(id as double), 7d, cast(id % 5 as double)) embedding")
+    q = spark.range(9).selectExpr("id query_id", "array(1d, cast(id as double), 2d) vector")
+    rows = lambda: sorted(map(tuple, retrieval.vector_search(q, e, 3).collect()))
+    one = rows()
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 2)
+    assert rows() == one and len(one) == 27
+
+
 def test_fault_codes_exact_then_bm25(spark):
     d = docs(spark, [("m1", "manual_fault_code", {"fault_code": "E00131", "chunk_text": "pump"}), ("m2", "manual_fault_code", {"fault_code": "E00999", "chunk_text": "about E00555"})])
     q = spark.createDataFrame([(1, "error e00131"), (2, "error E00555"), (3, "pump")], "query_id long, query string")
