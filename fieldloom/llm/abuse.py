@@ -65,12 +65,16 @@ def _lookup() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _folding() -> dict[int, str | None]:
+    """Full-width, mathematical and circled letters by their compatibility forms; invisible characters to nothing."""
+    styled = [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800), *range(0x24B6, 0x24EA), 0x3000]
+    return {o: unicodedata.normalize("NFKC", chr(o)) for o in styled} | ZERO
+
+
 def fold(text: str) -> str:
     """Lower case, full-width and stylised letters plain, invisible characters gone."""
-    t = text.translate(ZERO)
-    if not t.isascii():
-        t = "".join(unicodedata.normalize("NFKC", c) if 0xFF01 <= ord(c) <= 0xFF5E or 0x1D400 <= ord(c) <= 0x1D7FF or 0x24B6 <= ord(c) <= 0x24E9 or c == "　" else c for c in t)
-    return t.lower()
+    return (text if text.isascii() else text.translate(_folding())).lower()
 
 
 def bigrams(docs: DataFrame, text: str) -> DataFrame:
@@ -91,7 +95,7 @@ def bigrams(docs: DataFrame, text: str) -> DataFrame:
 
 
 def costs(counts: list[tuple[int, int]]) -> np.ndarray:
-    """-log P(next | symbol) from the corpus' counts and the word list's own, which weigh as much as 1 in 50 of it."""
+    """-log P(next | symbol) from the corpus' counts and the word list's own, which weigh as much as 1 in 20 of it."""
     m = np.full((SIZE, SIZE), 0.05)
     for pair, n in counts:
         m[divmod(pair, SIZE)] += n
@@ -103,13 +107,13 @@ def costs(counts: list[tuple[int, int]]) -> np.ndarray:
             own[a, b] += 1
         if ids[1:-1]:
             own[0, ids[1]] += 1
-    m += own * max(1.0, m.sum() / 50 / max(own.sum(), 1))
+    m += own * max(1.0, m.sum() / 20 / max(own.sum(), 1))
     return -np.log(m / m.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-#: cost of reading a character as another, of dropping a separator, a repeat, of an uncommon character and of a sign within a word as themselves, more for the less usual reading of a stroke
+#: cost of reading a character as another, of dropping a separator, a repeat, of an uncommon character, of a sign within a word and of a digit among letters as themselves, more for the less usual reading of a stroke
 SETTLE = 256
-SWAP, DROP, REPEAT, OTHER, SIGN, SECOND = 1.0, 0.2, 1.0, 7.0, 6.0, 1.5
+SWAP, DROP, REPEAT, OTHER, SIGN, SECOND, DIGIT = 1.0, 0.2, 1.0, 7.0, 6.0, 1.0, 5.0
 
 
 def decode(window: str, lm: np.ndarray, before: str = " ") -> str:
@@ -121,7 +125,7 @@ def decode(window: str, lm: np.ndarray, before: str = " ") -> str:
     states: dict[tuple[int, str], tuple[float, str]] = {(SYMBOLS.get(before, 0), ""): (0.0, "")}
     for i, c in enumerate(window):
         odd = c in "*@$!|#" and 0 < i < len(window) - 1
-        options = [(c, SIGN if odd else OTHER if c not in SYMBOLS and not c.isdigit() and c not in SEPARATORS else 0.0)]
+        options = [(c, DIGIT if c.isdigit() else SIGN if odd else OTHER if c not in SYMBOLS and not c.isdigit() and c not in SEPARATORS else 0.0)]
         run = i > 0 and window[i - 1] == c and (window[i - 2 : i - 1] == c or window[i + 1 : i + 2] == c)
         options += [(x, SWAP + (SECOND if k and c in "1|" else 0.0)) for k, x in enumerate(LEET.get(c, "") + ALIKE.get(c, ""))]
         lone = c in SEPARATORS and i > 0
@@ -146,7 +150,7 @@ def decode(window: str, lm: np.ndarray, before: str = " ") -> str:
 
 _SEP = r"[ .\-_*·~]"
 _SPACED = re.compile(rf"(?<![^\W\d_])(?:[^\W\d_]{_SEP}){{2,}}[^\W\d_](?![^\W\d_])|(?:[一-鿿](?:{_SEP}|\.)){{1,}}[一-鿿]+|[个帮是的] ?s[ .*-]b(?![a-z])")
-_LEETED = re.compile(r"(?<![\w@$!*|+#])(?=[\w@$!*|+#]*[a-zа-я])(?=[\w@$!*|+#]*[0-9@$!*|+#])[\w@$!*|+#]{3,24}", re.I)
+_LEETED = re.compile(r"(?<![\w@$!*|+#])(?=[\w@$!*|+#]*[a-zа-я])(?=[\w@$!*|+#]*[0-9@$!*|+#])[\w@$!*|+#]{2,24}", re.I)
 _REPEATED = re.compile(r"[a-zа-яё]{0,12}([a-zа-яё])\1{2,}[a-zа-яё]{0,12}")
 _ALIKE = re.compile(f"(?:{ITSELF})|([{''.join(ALIKE)}][一-鿿]{{0,2}})")
 _MIXED = re.compile(r"(?<![a-zа-яё])(?=[a-zа-яё]*[a-z])(?=[a-zа-яё]*[а-яё])[a-zа-яё]{3,}")
@@ -154,9 +158,19 @@ _TO_RU = str.maketrans("abcehkmoptxy", "авсенкмортху")
 _TO_LATIN = {ord(k): v for k, v in zip("авсенкмортхуі", "abcehkmoptxyi", strict=True)}
 
 
+def readings(text: str, lm: np.ndarray) -> list[str]:
+    """The restored text; and, where a stroke was read as l, the text with all strokes of words read as i."""
+    first, strokes = _restore(text, lm, False)
+    return [first, _restore(text, lm, True)[0]] if strokes else [first]
+
+
 def restore(text: str, lm: np.ndarray) -> str:
     """The folded text with every suspicious stretch decoded; letters that were spaced out come back joined."""
-    t = fold(text)
+    return _restore(text, lm, False)[0]
+
+
+def _restore(text: str, lm: np.ndarray, straight: bool) -> tuple[str, bool]:
+    t, strokes = fold(text), False
 
     def mixed(m: re.Match) -> str:
         w = m[0]
@@ -170,9 +184,17 @@ def restore(text: str, lm: np.ndarray) -> str:
     if _MIXED.search(t):
         t = _MIXED.sub(mixed, t)
     t = _SPACED.sub(spaced, t)
-    for p in (_LEETED, _REPEATED):
-        t = p.sub(lambda m: decode(m[0], lm), t)
-    return _ALIKE.sub(lambda m: decode(m[1], lm, t[m.start() - 1 : m.start()] or " ") if m[1] else m[0], t)
+
+    def leeted(m: re.Match) -> str:
+        nonlocal strokes
+        w = re.sub("[1|]", "!", m[0]) if straight else m[0]
+        read = decode(w, lm)
+        strokes |= "l" in read and ("1" in w or "|" in w)
+        return read
+
+    t = _LEETED.sub(leeted, t)
+    t = _REPEATED.sub(lambda m: decode(m[0], lm), t)
+    return _ALIKE.sub(lambda m: decode(m[1], lm, t[m.start() - 1 : m.start()] or " ") if m[1] else m[0], t), strokes
 
 
 @lru_cache(maxsize=1)
@@ -190,9 +212,9 @@ def score(text: str | None, lm: np.ndarray) -> dict[str, float]:
     out = dict.fromkeys(CATEGORIES, 0.0)
     if not text or text.isspace():
         return out
-    t = HARMLESS.sub(" ", restore(text, lm))
-    for c, w, p in _patterns():
-        out[c] += w * len(set(m[0] for m in p.finditer(t)))
+    found = {(c, w, m[0]) for t in readings(text, lm) for c, w, p in _patterns() for m in p.finditer(HARMLESS.sub(" ", t))}
+    for c, w, _ in found:
+        out[c] += w
     return out
 
 
