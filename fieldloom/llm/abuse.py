@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import weakref
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -158,6 +159,21 @@ _TO_RU = str.maketrans("abcehkmoptxy", "авсенкмортху")
 _TO_LATIN = {ord(k): v for k, v in zip("авсенкмортхуі", "abcehkmoptxyi", strict=True)}
 
 
+_read: dict[int, dict[str, str]] = {}
+
+
+def _known(window: str, lm: np.ndarray, most: int = 50_000) -> str:
+    """decode, remembering short stretches for as long as their model lives; a full memory is emptied."""
+    if (own := _read.get(id(lm))) is None:
+        own = _read[id(lm)] = {}
+        weakref.finalize(lm, _read.pop, id(lm), None)
+    if window not in own:
+        if len(own) >= most:
+            own.clear()
+        own[window] = decode(window, lm)
+    return own[window]
+
+
 def readings(text: str, lm: np.ndarray) -> list[str]:
     """The restored text; and, where a stroke was read as l, the text with all strokes of words read as i."""
     first, strokes = _restore(text, lm, False)
@@ -188,7 +204,7 @@ def _restore(text: str, lm: np.ndarray, straight: bool) -> tuple[str, bool]:
     def leeted(m: re.Match) -> str:
         nonlocal strokes
         w = re.sub("[1|]", "!", m[0]) if straight else m[0]
-        read = decode(w, lm)
+        read = _known(w, lm)  # codes of machines and parts come again and again
         strokes |= "l" in read and ("1" in w or "|" in w)
         return read
 
@@ -197,10 +213,53 @@ def _restore(text: str, lm: np.ndarray, straight: bool) -> tuple[str, bool]:
     return _ALIKE.sub(lambda m: decode(m[1], lm, t[m.start() - 1 : m.start()] or " ") if m[1] else m[0], t), strokes
 
 
+def _alternatives(p: str) -> list[str]:
+    """The alternatives of a pattern outside all brackets."""
+    out, depth, cls, start, i = [], 0, False, 0, 0
+    while i < len(p):
+        c = p[i]
+        if c == "\\":
+            i += 1
+        elif cls:
+            cls = c != "]"
+        elif c == "[":
+            cls = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(p[start:i])
+            start = i + 1
+        i += 1
+    return [*out, p[start:]]
+
+
+def _first(p: str) -> set[str]:
+    """The characters that a match of an alternative can begin with."""
+    while p.startswith("(?<!"):
+        p = p[p.index(")") + 1 :]
+    if p.startswith("["):
+        return set(p[1 : p.index("]")])
+    if p.startswith("("):
+        inner = p[1 : p.index(")")].removeprefix("?:")
+        return set().union(*map(_first, inner.split("|")))
+    return {p[0]}
+
+
 @lru_cache(maxsize=1)
 def _patterns() -> list[tuple[str, float, re.Pattern]]:
+    """Category, weight and pattern, apart for each script and behind a look at the first character, which rules out most places."""
     loose = lambda p: p.replace(" ?", "\0").replace(" ", " ?").replace("\0", " ?")
-    return [(c, w, re.compile(loose(p))) for c, ps in LEXICON.items() for w, p in ps.items()]
+    out = []
+    for c, ps in LEXICON.items():
+        for w, p in ps.items():
+            by: dict[str, list[str]] = {}
+            for x in _alternatives(p):
+                low = min(_first(x))
+                by.setdefault("Chinese" if low >= "一" else "Cyrillic" if low >= "а" else "Latin", []).append(x)
+            for xs in by.values():
+                firsts = "".join(sorted(set().union(*map(_first, xs))))
+                out.append((c, w, re.compile(f"(?=[{firsts}])(?:{loose('|'.join(xs))})")))
+    return out
 
 
 #: fixed values: words of the trade and reports of a complaint that hold parts of listed words
