@@ -156,7 +156,7 @@ def fault_code_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_ordered_parts(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.retrieve(docs(spark, d), table(spark, d, "part_evidence"), questions(spark, d))
+    found = retrieval.retrieve(docs(spark, d), table(spark, d, "part_evidence"), questions(spark, d), channels=("work_orders",))
     return found["part_evidence"].select("query_id", "work_order_id", F.col("order_rank").cast("bigint").alias("order_rank"), "part_id", "part_code", "quantity")
 
 

@@ -118,7 +118,7 @@ def merged_parts(spark: SparkSession, d: str) -> DataFrame:
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     """Each question expects the first two coded parts of its own order, and that order."""
     q = search.questions(spark, d)
-    found = retrieval.retrieve(search.docs(spark, d), table(spark, d, "part_evidence"), q)
+    found = retrieval.retrieve(search.docs(spark, d), table(spark, d, "part_evidence"), q, channels=("work_orders",))
     got = found["part_evidence"].groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("order_rank", "part_id", F.struct(F.coalesce("part_name", "part_number_name", F.lit("")).alias("name"), F.coalesce("part_code", F.lit("")).alias("code"), F.coalesce("quantity", F.lit("")).alias("quantity")).alias("p")))).alias("x")).select("query_id", F.transform("x", lambda s: s["p"]).alias("retrieved"))
     ids = search.docs(spark, d).where("doc_type = 'work_order'").select("doc_id", F.col("metadata")["work_order_id"].alias("wid"))
     orders = found["work_orders"].join(ids, "doc_id").groupBy("query_id").agg(F.collect_set("wid").alias("retrieved_orders"))
