@@ -14,6 +14,7 @@ from fieldloom.operators import html, retrieval, workorder
 from fieldloom.operators.evidence import Paused, Pipeline
 from fieldloom.operators.ingest import ingest
 from fieldloom.operators.store import Store
+from fieldloom.session import ship
 from fieldloom.sources import files
 
 
@@ -83,6 +84,7 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--top-k", type=int, default=8)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("fieldloom").getOrCreate()
+    ship(spark)
     json.dump(a.run(spark, a), sys.stdout, ensure_ascii=False, default=str)
     print()
     return 0
