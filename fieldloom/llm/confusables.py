@@ -32,6 +32,8 @@ _LATIN_BACK = {v: k for k, v in CYRILLIC.items() if v.isalpha() and k not in "Ѕ
 _PLAIN = r"\x20-\x7e一-鿿À-ÖØ-öø-ÿ，。、；：？！（）《》【】“”‘’…—·ΦΩμ"
 #: no look-alike can hide in a value that this doesn't find
 SUSPECT = rf"[^{_PLAIN}]"
+#: values that are their own plain form and skeleton
+SIMPLE = r"\A[\x20-\x7e一-鿿，。、；：（）]*\z"
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -112,16 +114,26 @@ def with_plain_form(df: DataFrame, col: str, plain: str = "plain") -> DataFrame:
     return suspect.unionByName(rest)
 
 
-def groups(values: DataFrame, value: str) -> DataFrame:
-    """Distinct values by equal skeleton: (value, skeleton, rows, spellings, canonical).
+def groups(values: DataFrame, value: str, *by: str) -> DataFrame:
+    """Distinct values that need a consistent form, within equal `by`: (*by, value, canonical, rows, spellings, group_rows).
 
-    Counts are summed per distinct value first, so a hot value is one row before anything is shuffled by
-    skeleton. The canonical spelling of a group is its plain form; nulls are left out.
+    Values with equal skeleton are a group. All values of a group with more than one spelling come out, and every
+    other value whose plain form differs. Counts are summed per distinct value first, so a hot value is one row before
+    anything is shuffled by skeleton. The canonical spelling of a group is the plain form of its commonest value;
+    nulls are left out.
     """
-    counted = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("rows"))
-    keyed = counted.withColumn("skeleton", F.when(F.col("value").rlike(r"\A[\x20-\x7e一-鿿，。、；：（）]*\z"), F.col("value")).otherwise(_skeleton("value")))
-    sums = keyed.groupBy("skeleton").agg(F.count("*").alias("spellings"), F.sum("rows").alias("group_rows"))
-    return with_plain_form(keyed.join(sums, "skeleton").where("spellings > 1"), "value", "canonical").select("value", "canonical", "rows", "spellings", "group_rows")
+    counted = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("rows"))
+    simple = F.col("value").rlike(SIMPLE)
+    own = counted.where(simple).select("*", F.col("value").alias("plain"), F.col("value").alias("skeleton"))
+    keyed = own.unionByName(counted.where(~simple).select("*", _plain("value").alias("plain"), _skeleton("value").alias("skeleton")))
+    sums = keyed.groupBy(*by, "skeleton").agg(F.count("*").alias("spellings"), F.sum("rows").alias("group_rows"), F.max_by("plain", F.struct("rows", "plain")).alias("canonical"))
+    return keyed.join(sums, [*by, "skeleton"]).where("spellings > 1 or canonical <> value").select(*by, "value", "canonical", "rows", "spellings", "group_rows")
+
+
+def _stacked(parts: DataFrame, *fields: str) -> DataFrame:
+    """(part_id, field, value): the fields one below the other."""
+    stacked = parts.select("part_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x"))
+    return stacked.select("part_id", "x.field", "x.value")
 
 
 def _found(df: DataFrame, field: str, row_id: str, col: Column) -> DataFrame:
@@ -131,12 +143,12 @@ def _found(df: DataFrame, field: str, row_id: str, col: Column) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     wo = table(spark, sf_dir, "work_orders").select("record_id", "reported_issue")
-    pe = table(spark, sf_dir, "part_evidence").select("part_id", "part_code", "part_name")
-    stacked = pe.select("part_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("part_code", "part_name")))).alias("x"))
-    parts = stacked.select("part_id", "x.field", "x.value").where(F.col("value").rlike(SUSPECT)).where(_plain("value") != F.col("value"))
+    parts = _stacked(table(spark, sf_dir, "part_evidence"), "part_code", "part_name").where(F.col("value").rlike(SUSPECT)).where(_plain("value") != F.col("value"))
     return _found(wo, "reported_issue", "record_id", F.col("reported_issue")).unionByName(parts.select("field", F.col("part_id").cast("bigint").alias("row_id")))
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part codes that look equal but are spelt differently, with their one consistent form."""
-    return groups(table(spark, sf_dir, "part_evidence").select("part_code"), "part_code")
+    """Values of the three fields that look equal but are spelt differently, and other disguised ones, with their one consistent form."""
+    wo = table(spark, sf_dir, "work_orders").select(F.lit("reported_issue").alias("field"), F.col("reported_issue").alias("value"))
+    pe = table(spark, sf_dir, "part_evidence")
+    return groups(wo.unionByName(_stacked(pe, "part_code", "part_name").select("field", "value")), "value", "field")

@@ -51,6 +51,19 @@ def test_skeleton_groups(spark):
     assert confusables.groups(df.limit(0), "code").count() == 0
 
 
+def test_groups_by_field_and_lone_disguises(spark):
+    rows = [("a", "КMH-1"), ("a", "КMH-1"), ("b", "KMH-1"), ("b", "Z"), ("b", None), ("c", "Зима"), ("c", "Зима"), ("c", "3има")]
+    got = {tuple(r) for r in confusables.groups(spark.createDataFrame(rows, "field string, v string"), "v", "field").collect()}
+    assert got == {("a", "КMH-1", "KMH-1", 2, 1, 2), ("c", "Зима", "Зима", 2, 2, 3), ("c", "3има", "Зима", 1, 2, 3)}
+
+
+def test_groups_cover_all_fields(spark, tmp_path):
+    spark.createDataFrame([(1, "泵​漏油"), (2, None)], "record_id long, reported_issue string").write.parquet(f"{tmp_path}/work_orders.parquet")
+    spark.createDataFrame([(1, "КMH-1", "⽔泵"), (2, "KMH-1", "水泵")], "part_id long, part_code string, part_name string").write.parquet(f"{tmp_path}/part_evidence.parquet")
+    got = {(r.field, r.value, r.canonical) for r in confusables.p5_groups(spark, str(tmp_path)).collect()}
+    assert got == {("reported_issue", "泵​漏油", "泵漏油"), ("part_code", "КMH-1", "KMH-1"), ("part_code", "KMH-1", "KMH-1"), ("part_name", "⽔泵", "水泵"), ("part_name", "水泵", "水泵")}
+
+
 def test_suspect_filter_misses_nothing():
     import re
 
