@@ -115,14 +115,21 @@ def merged_parts(spark: SparkSession, d: str) -> DataFrame:
 # --- evaluation ----------------------------------------------------------------------------------
 
 
+def _expected(parts: DataFrame) -> DataFrame:
+    """(query_id, expected): every coded part of the order, in its order."""
+    part = F.struct(F.coalesce("part_name", F.lit("")).alias("name"), F.col("part_code").alias("code"), F.lit("").alias("quantity")).alias("p")
+    own = parts.where("part_code is not null").groupBy(F.col("record_id").alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("part_ord", part))).alias("x"))
+    return own.select("query_id", F.transform("x", lambda s: s["p"]).alias("expected"))
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    """Each question expects the first two coded parts of its own order, and that order."""
+    """Each question expects all coded parts of its own order, and that order."""
     q = search.questions(spark, d)
     found = retrieval.retrieve(search.docs(spark, d), table(spark, d, "part_evidence"), q, channels=("work_orders",))
     got = found["part_evidence"].groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("order_rank", "part_id", F.struct(F.coalesce("part_name", "part_number_name", F.lit("")).alias("name"), F.coalesce("part_code", F.lit("")).alias("code"), F.coalesce("quantity", F.lit("")).alias("quantity")).alias("p")))).alias("x")).select("query_id", F.transform("x", lambda s: s["p"]).alias("retrieved"))
     ids = search.docs(spark, d).where("doc_type = 'work_order'").select("doc_id", F.col("metadata")["work_order_id"].alias("wid"))
     orders = found["work_orders"].join(ids, "doc_id").groupBy("query_id").agg(F.collect_set("wid").alias("retrieved_orders"))
-    own = table(spark, d, "part_evidence").where("part_code is not null and part_ord <= 2").groupBy(F.col("record_id").alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("part_ord", F.struct(F.coalesce("part_name", F.lit("")).alias("name"), F.col("part_code").alias("code"), F.lit("").alias("quantity")).alias("p")))).alias("x")).select("query_id", F.transform("x", lambda s: s["p"]).alias("expected"))
+    own = _expected(table(spark, d, "part_evidence"))
     wo = table(spark, d, "work_orders").select(F.col("record_id").alias("query_id"), F.col("work_order_id").alias("expected_order"))
     rows = q.join(wo, "query_id").join(own, "query_id", "left").join(got, "query_id", "left").join(orders, "query_id", "left")
     return evaluate.judge(rows.select("*", F.col("query").alias("question"), F.lit("search").alias("mode"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error"), F.col("query_id").cast("int").alias("row_number")))

@@ -80,6 +80,14 @@ def test_verdicts(spark):
     assert (got[0].unexpected, got[2].missing, got[1].answer_part_recall, got[2].answer_part_recall) == (1, 1, True, False)
 
 
+def test_all_coded_parts_are_expected(spark):
+    from fieldloom.plans import upkeep
+
+    rows = [(1, 1, "a", "A"), (1, 4, "d", "D"), (1, 3, None, "C"), (1, 2, "b", None), (2, 3, "x", "X"), (2, 4, "y", "Y"), (3, 1, "z", None)]
+    got = {r.query_id: [tuple(p) for p in r.expected] for r in upkeep._expected(spark.createDataFrame(rows, "record_id long, part_ord int, part_name string, part_code string")).collect()}
+    assert got == {1: [("a", "A", ""), ("", "C", ""), ("d", "D", "")], 2: [("x", "X", ""), ("y", "Y", "")]}
+
+
 def test_metrics_and_cells(spark):
     df = spark.createDataFrame([("a，b", "1", "")], "n string, c string, q string")
     assert [tuple(x) for x in df.select(evaluate.expected_parts(F.col("n"), F.col("c"), F.col("q"))).head()[0]] == [("a", "1", ""), ("b", "", "")]
