@@ -113,45 +113,48 @@ def costs(counts: list[tuple[int, int]]) -> np.ndarray:
 
 
 #: cost of reading a character as another, of dropping a separator, a repeat, of an uncommon character, of a sign within a word and of a digit among letters as themselves, more for the less usual reading of a stroke
-SETTLE = 256
 SWAP, DROP, REPEAT, OTHER, SIGN, SECOND, DIGIT = 1.0, 0.2, 1.0, 7.0, 6.0, 1.0, 5.0
 
 
 def decode(window: str, lm: np.ndarray, before: str = " ") -> str:
     """The likeliest reading of a stretch: Viterbi over its lattice; a state is the last symbol put out.
 
-    Every SETTLE characters the best reading so far is settled, so that a stretch of any length takes linear time.
+    Readings are chains of what was put out, (chain before, character), so that a stretch of any length takes linear time.
     """
-    done: list[str] = []
-    states: dict[tuple[int, str], tuple[float, str]] = {(SYMBOLS.get(before, 0), ""): (0.0, "")}
+    states: dict[tuple[int, str], tuple[float, tuple | None]] = {(SYMBOLS.get(before, 0), ""): (0.0, None)}
     for i, c in enumerate(window):
         odd = c in "*@$!|#" and 0 < i < len(window) - 1
         options = [(c, DIGIT if c.isdigit() else SIGN if odd else OTHER if c not in SYMBOLS and not c.isdigit() and c not in SEPARATORS else 0.0)]
         run = i > 0 and window[i - 1] == c and (window[i - 2 : i - 1] == c or window[i + 1 : i + 2] == c)
         options += [(x, SWAP + (SECOND if k and c in "1|" else 0.0)) for k, x in enumerate(LEET.get(c, "") + ALIKE.get(c, ""))]
         lone = c in SEPARATORS and i > 0
-        new: dict[tuple[int, str], tuple[float, str]] = {}
+        new: dict[tuple[int, str], tuple[float, tuple | None]] = {}
         for (sym, last), (cost, out) in states.items():
             for x, extra in options:
                 s = 2 if x.isdigit() else SYMBOLS.get(x, 1 if x in SEPARATORS else 0)
                 total = cost + extra + float(lm[sym, s])
                 if (s, x) not in new or total < new[s, x][0]:
-                    new[s, x] = (total, out + x)
+                    new[s, x] = (total, (out, x))
             if lone or run and c == last:
                 total = cost + (DROP if lone else REPEAT)
                 if (sym, last) not in new or total < new[sym, last][0]:
                     new[sym, last] = (total, out)
         states = dict(sorted(new.items(), key=lambda kv: kv[1][0])[:24])
-        if i % SETTLE == SETTLE - 1:
-            best = min(states, key=lambda k: states[k][0])
-            done.append(states[best][1])
-            states = {best: (0.0, "")}
-    return "".join(done) + min(states.values())[1]
+    least = min(cost for cost, _ in states.values())
+    return min(_put_out(out) for cost, out in states.values() if cost == least)
+
+
+def _put_out(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, x = chain
+        out.append(x)
+    return "".join(reversed(out))
 
 
 _SEP = r"[ .\-_*·~]"
 _SPACED = re.compile(rf"(?<![^\W\d_])(?:[^\W\d_]{_SEP}){{2,}}[^\W\d_](?![^\W\d_])|(?:[一-鿿](?:{_SEP}|\.)){{1,}}[一-鿿]+|[个帮是的] ?s[ .*-]b(?![a-z])")
-_LEETED = re.compile(r"(?<![\w@$!*|+#])(?=[\w@$!*|+#]*[a-zа-я])(?=[\w@$!*|+#]*[0-9@$!*|+#])[\w@$!*|+#]{2,24}", re.I)
+_LEETED = re.compile(r"(?<![\w@$!*|+#])(?=[\w@$!*|+#]*[a-zа-я])(?=[\w@$!*|+#]*[0-9@$!*|+#])[\w@$!*|+#]{2,}", re.I)
 _REPEATED = re.compile(r"[a-zа-яё]{0,12}([a-zа-яё])\1{2,}[a-zа-яё]{0,12}")
 _ALIKE = re.compile(f"(?:{ITSELF})|([{''.join(ALIKE)}][一-鿿]{{0,2}})")
 _MIXED = re.compile(r"(?<![a-zа-яё])(?=[a-zа-яё]*[a-z])(?=[a-zа-яё]*[а-яё])[a-zа-яё]{3,}")
@@ -164,6 +167,8 @@ _read: dict[int, dict[str, str]] = {}
 
 def _known(window: str, lm: np.ndarray, most: int = 50_000) -> str:
     """decode, remembering short stretches for as long as their model lives; a full memory is emptied."""
+    if len(window) > 24:
+        return decode(window, lm)
     if (own := _read.get(id(lm))) is None:
         own = _read[id(lm)] = {}
         weakref.finalize(lm, _read.pop, id(lm), None)

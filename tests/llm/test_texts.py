@@ -121,6 +121,15 @@ def test_bad_texts_score(text):
     assert max(abuse.score(text, LM).values()) >= 1
 
 
+@pytest.mark.parametrize("n", [0, 22, 24, 250, 253, 255, 256, 1000])
+def test_leetspeak_anywhere_in_a_run(n):
+    assert abuse.score("检" * n + "b1tch", LM)["abusive"] >= 1 and abuse.score("x1" * (n // 2) + "b1tch", LM)["abusive"] >= 1
+
+
+def test_long_runs_decode_in_linear_time():
+    assert abuse.decode("b1tch" * 20_000, LM).count("bitch") == 20_000
+
+
 @pytest.mark.parametrize("text", FINE)
 def test_harmless_texts_do_not(text):
     assert max(abuse.score(text, LM).values()) < 1
