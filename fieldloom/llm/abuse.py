@@ -152,10 +152,20 @@ def _put_out(chain: tuple | None) -> str:
     return "".join(reversed(out))
 
 
-_SEP = r"[ .\-_*·~]"
-_SPACED = re.compile(rf"(?<![^\W\d_])(?:[^\W\d_]{_SEP}){{2,}}[^\W\d_](?![^\W\d_])|(?:[一-鿿](?:{_SEP}|\.)){{1,}}[一-鿿]+|[个帮是的] ?s[ .*-]b(?![a-z])")
+_SEP = f"[{re.escape(SEPARATORS)}]"
+#: separators that don't part clauses or entries of a list: behind these, repeated at most, more than one Chinese character may follow
+_BARE = r"([ .\-_*·~])"
+_HANZI = "[一-鿿]"
+#: a letter, or a digit or sign for one; signs that are separators, too, are decoded as what stands between
+_PIECE = rf"(?:[^\W\d_]|[{re.escape(''.join(sorted(set(LEET) - set(SEPARATORS))))}])"
+_SPACED = re.compile(
+    rf"(?:(?<![^\W\d_])(?=[^\W\d_])|(?<![^\W_])){_PIECE}(?:{_SEP}+{_PIECE}(?={_SEP})){{1,}}{_SEP}+(?:[^\W\d_](?![^\W\d_])|{_PIECE}(?![^\W_]))"
+    rf"|(?:{_HANZI}{_SEP}+)*{_HANZI}(?:{_BARE}\1*{_HANZI}+|{_SEP}+{_HANZI}(?!{_HANZI}))|[个帮是的] ?s[ .*-]+b(?![a-z])"
+)
 _LEETED = re.compile(r"(?<![\w@$!*|+#])(?=[\w@$!*|+#]*[a-zа-я])(?=[\w@$!*|+#]*[0-9@$!*|+#])[\w@$!*|+#]{2,}", re.I)
 _REPEATED = re.compile(r"[a-zа-яё]{0,12}([a-zа-яё])\1{2,}[a-zа-яё]{0,12}")
+_HAN_REPEAT = re.compile(rf"({_HANZI})\1\1")
+_HAN_REPEATED = re.compile(rf"{_HANZI}{{0,12}}?({_HANZI})\1{{2,}}{_HANZI}{{0,12}}")
 _ALIKE = re.compile(f"(?:{ITSELF})|([{''.join(ALIKE)}][一-鿿]{{0,2}})")
 _MIXED = re.compile(r"(?<![a-zа-яё])(?=[a-zа-яё]*[a-z])(?=[a-zа-яё]*[а-яё])[a-zа-яё]{3,}")
 _TO_RU = str.maketrans("abcehkmoptxy", "авсенкмортху")
@@ -198,6 +208,8 @@ def _restore(text: str, lm: np.ndarray, straight: bool) -> tuple[str, bool]:
         return w.translate(_TO_RU) if sum("а" <= c <= "ё" for c in w) * 2 >= len(w) else w.translate(_TO_LATIN)
 
     def spaced(m: re.Match) -> str:
+        if not any(map(str.isalpha, m[0])):  # figures
+            return m[0]
         bare = re.sub(_SEP, "", m[0])
         read = decode(m[0], lm)
         return bare if re.sub(_SEP, "", read) == bare else re.sub(_SEP, "", read)
@@ -215,6 +227,8 @@ def _restore(text: str, lm: np.ndarray, straight: bool) -> tuple[str, bool]:
 
     t = _LEETED.sub(leeted, t)
     t = _REPEATED.sub(lambda m: decode(m[0], lm), t)
+    if _HAN_REPEAT.search(t):
+        t = _HAN_REPEATED.sub(lambda m: decode(m[0], lm), t)
     return _ALIKE.sub(lambda m: decode(m[1], lm, t[m.start() - 1 : m.start()] or " ") if m[1] else m[0], t), strokes
 
 

@@ -126,6 +126,16 @@ def test_leetspeak_anywhere_in_a_run(n):
     assert abuse.score("检" * n + "b1tch", LM)["abusive"] >= 1 and abuse.score("x1" * (n // 2) + "b1tch", LM)["abusive"] >= 1
 
 
+@pytest.mark.parametrize("text", ["f/u/c/k", "f  u  c  k off", "f,u|c`k", "your piece of s.h.1.t", "b.1.t.c.h", "b - 1 - t - c - h", "傻,逼", "你个傻|逼！", "傻  逼东西", "垃、圾/玩 意", "他妈妈妈的", "客服是白白白痴", "狗 . 东 . 西"])
+def test_spacing_and_repeats_of_all_kinds(text):
+    assert max(abuse.score(text, LM).values()) >= 1
+
+
+@pytest.mark.parametrize("text", ["机床,照明正常", "5月1日,你方人员到场", "全部,滚轮已换", "1 2 3 5 / 4 5 5", "L/R/N 5 5", "| 1 | 2 | 3 |", "好好好", "A, B, C, D", "机床 / 照明"])
+def test_lists_and_clauses_are_not_spacing(text):
+    assert max(abuse.score(text, LM).values()) < 1
+
+
 def test_long_runs_decode_in_linear_time():
     assert abuse.decode("b1tch" * 20_000, LM).count("bitch") == 20_000
 
