@@ -6,7 +6,6 @@ lines are aligned by longest common subsequence, and the shared lines are delete
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 from fieldloom.operators.index import number_documents
 from fieldloom.session import table
 
-#: products of line counts up to which the alignment is a full table; larger stretches are first cut at lines that either page has once
-FULL = 4_000_000
+#: products of line counts up to which the alignment is a full table; larger stretches with few pairs of equal lines take a longest rising part of these, others are first halved where a longest alignment passes. The length is the same in all ways
+FULL, PAIRS = 4_000_000, 500_000
 
 
 def _table(a: list[str], b: list[str]) -> list[int]:
@@ -41,6 +40,21 @@ def _table(a: list[str], b: list[str]) -> list[int]:
     return out
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a with each beginning of b, in one row."""
+    best = np.zeros(len(b) + 1, dtype=np.int32)
+    for x in a:
+        best[1:] = np.maximum.accumulate(np.where(b == x, best[:-1] + 1, best[1:]))
+    return best
+
+
+def _split(a: list[str], b: list[str]) -> int:
+    """How many of b's lines a longest alignment gives to the first half of a (Hirschberg: memory of one row)."""
+    ids = {x: i for i, x in enumerate(dict.fromkeys(b))}
+    x, y, mid = np.array([ids.get(v, -1) for v in a]), np.array([ids[v] for v in b]), len(a) // 2
+    return int(np.argmax(_lengths(x[:mid], y) + _lengths(x[mid:][::-1], y[::-1])[::-1]))
+
+
 def shared_lines(a: list[str], b: list[str]) -> list[int]:
     """Indexes of a's lines that the alignment with b shares, in order."""
     out: list[int] = []
@@ -58,16 +72,17 @@ def shared_lines(a: list[str], b: list[str]) -> list[int]:
         if (a1 - a0) * (b1 - b0) <= FULL:
             out += [a0 + i for i in _table(a[a0:a1], b[b0:b1])]
             continue
-        once_a, once_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-        at_b = {x: j for j, x in enumerate(b[b0:b1], b0) if once_b[x] == 1}
-        pairs = [(i, at_b[x]) for i, x in enumerate(a[a0:a1], a0) if once_a[x] == 1 and x in at_b]
-        anchors = _rising(pairs)
-        if not anchors:  # no line to cut at: halves
-            todo += [(a0, (a0 + a1) // 2, b0, (b0 + b1) // 2), ((a0 + a1) // 2, a1, (b0 + b1) // 2, b1)]
+        if a1 - a0 == 1:
+            out += [a0] * (a[a0] in b[b0:b1])
+            continue
+        where: dict[str, list[int]] = {}
+        for j in range(b1 - 1, b0 - 1, -1):
+            where.setdefault(b[j], []).append(j)
+        if sum(len(where.get(x, ())) for x in a[a0:a1]) <= PAIRS:  # Hunt-Szymanski
+            out += [i for i, _ in _rising([(i, j) for i in range(a0, a1) for j in where.get(a[i], ())])]
             continue
-        out += [i for i, _ in anchors]
-        edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
-        todo += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:], strict=False)]
+        mid, at = (a0 + a1) // 2, _split(a[a0:a1], b[b0:b1])
+        todo += [(a0, mid, b0, b0 + at), (mid, a1, b0 + at, b1)]
     return sorted(out)
 
 

@@ -32,6 +32,23 @@ def test_long_pages(monkeypatch):
     assert len(P.shared_lines(list("axbycz"), list("apbqcr"))) == 3
 
 
+def test_long_pages_align_longest(monkeypatch):
+    monkeypatch.setattr(P, "FULL", 4)
+    rnd = random.Random(3)
+    for k in range(400):
+        monkeypatch.setattr(P, "PAIRS", (0, 40, 10_000)[k % 3])
+        a, b = ([rnd.choice("abc" if k % 2 else "abcdefghij") for _ in range(rnd.randint(0, 30))] for _ in range(2))
+        got = P.shared_lines(a, b)
+        assert len(got) == lcs(a, b) and is_sub([a[i] for i in got], b) and got == sorted(set(got))
+
+
+def test_lines_moved_across_the_middle_are_shared():
+    a = [x for i in range(1100) for x in ("a", "b")] + ["c", "d"] * 500
+    b = ["e", "f"] * 600 + a[:2200]
+    got = P.shared_lines(a, b)
+    assert len(got) == 2200 and is_sub([a[i] for i in got], b)
+
+
 def test_pages(spark):
     rows = [("1", "h/a/x", "head\nA\nfoot"), ("2", "h/a/y", "head\nB\n\nfoot"), ("3", "h/b", "head\nC"), ("4", "g/a", "head\nD"), ("5", None, "x"), ("6", "h/c", None), ("7", "k/1", ""), ("7", "k/1", "")]
     df = spark.createDataFrame(rows, "id string, url string, text string")
