@@ -75,7 +75,9 @@ def _word(m: re.Match) -> str:
             out.append(run)
             continue
         own = [c for c in run if _script(c) == "Cyrl" and c not in CYRILLIC or _script(c) == "Grek" and c not in GREEK and c not in "ΦΩμ"]
-        if own:  # a word of that script: Latin letters in it are the look-alikes
+        if "Cyrl" in scripts and "Grek" in scripts and any(_script(c) == "Cyrl" for c in own) and not any(_script(c) == "Grek" for c in own):
+            out.append("".join(_LATIN_BACK.get(GREEK.get(c, c), c) for c in run))
+        elif own:  # a word of that script: Latin letters in it are the look-alikes
             out.append("".join(_LATIN_BACK.get(c, c) for c in run) if "Cyrl" in scripts and "Latn" in scripts else run)
         else:
             out.append("".join(CYRILLIC.get(c) or GREEK.get(c) or c for c in run))

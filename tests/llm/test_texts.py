@@ -44,6 +44,10 @@ def test_plain_form(text, plain):
     assert confusables.plain_form(text) == plain
 
 
+def test_greek_letters_in_russian_words():
+    assert confusables.plain_form("насοс") == "насос" and confusables.plain_form("Φ12 насос 70μm") == "Φ12 насос 70μm"
+
+
 def test_skeleton_groups(spark):
     df = spark.createDataFrame([("KMH-1",), ("КMH-1",), ("ＫＭＨ‐１",), ("KMH-1",), (None,), ("Z",), ("",)], "code string")
     got = confusables.groups(df, "code").collect()
