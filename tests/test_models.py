@@ -42,3 +42,17 @@ def test_command_line(spark, tmp_path, capsys):
     got = run("search", str(tmp_path / "store"), "风扇皮带断了")
     assert got["work_orders"][0]["work_order_id"] == "W1" and got["parts"][0]["part_code"] == "310900001"
     assert "310900001" in run("ask", str(tmp_path / "store"), "风扇皮带断了")["answer"]
+
+
+def test_all_documents_are_embedded(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fieldloom.operators import embed
+    from fieldloom.plans import upkeep
+
+    docs = spark.createDataFrame([(str(i), f"text {i}") for i in range(20)], "doc_id string, text string")
+    docs.write.parquet(f"{tmp_path}/index_documents.parquet")
+    assert {r.doc_id for r in upkeep.hash_embeddings(spark, str(tmp_path)).collect()} == {str(i) for i in range(20)}
+    have = docs.where("doc_id < '5'").select("doc_id", F.lit("hash").alias("provider"), F.lit("hash-64").alias("model"))
+    got = embed.backfill(docs, have, embed.hash_provider(), "hash", "hash-64").collect()
+    assert {r.doc_id for r in got} == {str(i) for i in range(5, 10)}
