@@ -26,7 +26,8 @@ OTHER_LABELS = ("工单ID", "用户报修内容", "人员落实及解决方法",
 
 _OPEN, _CLOSE = "(（[【", ")）]】"
 _CODE = re.compile(r"(?=[^\s一-鿿]{4})(?=(?:[^\s一-鿿]*\d){2})\w")
-_INTRO = re.compile(r"\s*[^\d\n;；、,，|\"]{1,12}?\s*[:：=]\s*|\s*[一-鿿]{2,8}\s+(?=[\"\w])|\s*[一-鿿]{2,8}(?=[\"A-Za-z\d])")
+#: words that introduce a list, of any length: up to a colon, Chinese ones before a blank, or right before a code
+_INTRO = re.compile(r"\s*[^\d\n;；、,，|\":：=]+[:：=]\s*|\s*[一-鿿]{2,}+(?:\s+(?=[\"\w])|(?=[\"A-Za-z\d]))")
 
 
 def tokenize(text: str) -> list[tuple[int, int, bool]]:

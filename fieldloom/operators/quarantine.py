@@ -46,10 +46,11 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
     Reasons: quoting, column_count, invalid_value (with every failing column named in
     `error_columns`). A null line counts as a line that has no columns: column_count. Fields are
-    null in a bad row unless they could be read. Columns of the input are kept; should the input
+    null in a bad row unless they could be read. part_count holds 38 digits; a longer count, which is as valid, is null there
+    and whole in part_count_text, which has the digits of every count. Columns of the input are kept; should the input
     have a column of a field's name, the field wins and the input's is renamed `<name>_in`.
     """
-    for f in (*FIELDS, "errors", "error_columns"):
+    for f in (*FIELDS, "part_count_text", "errors", "error_columns"):
         if f in lines.columns and f != line:
             lines = lines.withColumnRenamed(f, f"{f}_in")
     raw = lines.withColumn("__fields", split_line(F.col(line)))
@@ -81,6 +82,7 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     values = {
         "input_path": t["input_path"], "status": t["status"], "error": blank(t["error"]), "work_order_id": blank(t["work_order_id"]),
         "part_count": F.col("__count").try_cast("decimal(38,0)"), "parse_warnings": F.col("__warned"), "encoding": blank(t["encoding"]), "finished_at": F.col("__at"),
+        "part_count_text": F.col("__count"),
     }
     read = F.col("__fields").isNotNull() & whole
     return typed.select(*lines.columns, errors.alias("errors"), F.when(read, bad).alias("error_columns"), *(F.when(read, v).alias(n) for n, v in values.items()))
@@ -100,9 +102,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The good records, typed; warnings joined to text so that the rows compare plainly."""
+    """The good records, typed; warnings joined to text so that the rows compare plainly. A count beyond 64 bits is whole in part_count_text."""
     ok = good_rows(parse_lines(table(spark, sf_dir, "parse_log")))
-    return ok.select("raw_id", "input_path", "status", "error", "work_order_id", F.col("part_count").try_cast("bigint").alias("part_count"), F.array_join("parse_warnings", "|").alias("parse_warnings"), "encoding", "finished_at")
+    return ok.select("raw_id", "input_path", "status", "error", "work_order_id", F.col("part_count").try_cast("bigint").alias("part_count"), "part_count_text", F.array_join("parse_warnings", "|").alias("parse_warnings"), "encoding", "finished_at")
 
 
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ QUERIES = {
 
 SQL = {
     "p2_found": f"WITH {_P2} SELECT raw_id, reason FROM p2 WHERE reason IS NOT NULL",
-    "p2_valid": f"""WITH {_P2} SELECT raw_id, f[1] AS input_path, f[2] AS status, nullif(f[3], '') AS error, nullif(f[4], '') AS work_order_id, f[5]::BIGINT AS part_count,
+    "p2_valid": f"""WITH {_P2} SELECT raw_id, f[1] AS input_path, f[2] AS status, nullif(f[3], '') AS error, nullif(f[4], '') AS work_order_id, try_cast(f[5] AS BIGINT) AS part_count, f[5] AS part_count_text,
         f[6] AS parse_warnings, nullif(f[7], '') AS encoding, f[8]::TIMESTAMP AS finished_at FROM p2 WHERE reason IS NULL""",
     "p2_rates": f"""WITH {_P2} SELECT log_file, count(*) AS lines, count_if(reason = 'quoting') AS quoting, count_if(reason = 'column_count') AS column_count,
         count_if(reason = 'invalid_value') AS invalid_value FROM p2 GROUP BY log_file""",

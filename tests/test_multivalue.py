@@ -20,6 +20,12 @@ def test_intro_notes_and_repeats():
     assert M.entries("477813601 6件, 含密封、H3770C87") == ["477813601 6件, 含密封", "H3770C87"]
 
 
+def test_introductions_of_any_length():
+    two = ["A1234", "B2345"]
+    for intro in ("更换件: ", "本次维修中更换的全部零部件清单: ", "The following parts were replaced during this visit: ", "本次维修中更换的全部零部件清单 ", "x" * 500 + ": "):
+        assert M.entries(intro + "A1234、B2345") == two
+
+
 def test_empty():
     assert M.entries(None) == M.entries("") == M.entries(" \n") == []
     assert M.entries(";;，") == []

@@ -38,6 +38,14 @@ def test_order_warnings_and_labels():
     assert o["parse_warnings"] == ["missing_reported_issue", "missing_solution"]
 
 
+def test_single_section_and_values():
+    assert workorder.section("备注:\n备注: b", "remarks") == "" and workorder.section("x", "remarks") is None
+    assert workorder.labelled_values("新件数量: \n 2;名称: 泵 数量") == {("new", "quantity"): "2", ("", "part_name"): "泵"}
+    assert workorder.labelled_values("大名称: x 编码: y,备件名称: z") == {("", "part_code"): "y", ("", "part_name"): "z"}
+    text = "工单ID：A; 备注, x\n"
+    assert "".join(e.value if e.kind != "label" else text[e.start : e.end] for e in workorder.events(text, workorder.SECTIONS)) == text
+
+
 def test_orders_in_bulk(spark):
     df = spark.createDataFrame([(1, ORDER, "s"), (2, None, None), (3, "", ""), (1, ORDER, "s"), (4, "备注: " + "x" * 200_000, "")], "id long, t string, status string")
     rows = workorder.parse_orders(df, "t", "id").collect()
@@ -62,8 +70,21 @@ def test_html_tables():
     assert html.to_markdown("<table><tr><td></td></tr><tr><td>x</td></tr></table>").startswith("| Column 1 |")
 
 
-def test_html_depth_is_bounded():
-    assert "x" in html.to_markdown("<div>" * 5000 + "x")
+def test_html_of_any_depth_and_span():
+    assert html.to_markdown("<div>" * 2000 + "<ul><li>a</li><li>b</li></ul>") == "- a\n- b\n"
+    assert html.to_markdown("<b>" * 2000 + "x").startswith("**" * 2000 + "x")
+    head = html.to_markdown('<table><tr><td colspan="5000">x</td><td>y</td></tr></table>').split("\n")[0]
+    assert head.count("|") == 5002 and head.endswith("| y |")
+    tall = html.to_markdown('<table><tr><td rowspan="5000">x</td><td>1</td></tr>' + "<tr><td>2</td></tr>" * 1500 + "</table>")
+    assert tall.count("| x | 2 |") == 1500
+    assert html.to_markdown('<table><tr><td colspan="many">x</td><td rowspan="-3">y</td></tr></table>') == "| x | y |\n| --- | --- |\n"
+
+
+def test_html_unbalanced_and_nested():
+    assert html.to_markdown("<p>a<svg><b>b</svg>c</i></p></p>d") == "ac\n\nd\n"
+    assert html.to_markdown("<table><tr><td><form>f</form></td><td><ul><li>a</li></ul></td></tr></table>") == "| f | - a |\n| --- | --- |\n"
+    assert html.to_markdown("<div>x</div><section id='Content'>y<article>z</article></section>") == "z\n"
+    assert html.to_markdown("<pre>a<code>b\n c</code></pre><blockquote>q<p>r</p></blockquote>") == "```\nb\n c\n```\n\n> q\n>\n> r\n"
 
 
 def chunk(spark, t, n):

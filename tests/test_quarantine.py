@@ -63,3 +63,10 @@ def test_huge_counts_and_missing_paths(spark):
     assert [tuple(r) for r in rows] == [("9" * 30, None), (None, None)]
     paths = spark.createDataFrame([("",), (None,), ("/",)], "p string").select(*manuals.path_metadata(F.col("p"))).collect()
     assert [(r.file_name, r.doc_type) for r in paths] == [(None, "manual_typical_fault")] * 3
+
+
+def test_counts_of_any_length(spark):
+    digits = "9" * 60
+    df = spark.createDataFrame([(1, f"p,parsed,,,{digits},,utf-8,2024-01-01 00:00:00")], "raw_id long, line string")
+    r = Q.parse_lines(df).collect()[0]
+    assert (r.errors, r.part_count, r.part_count_text) == ([], None, digits)
