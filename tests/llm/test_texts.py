@@ -39,13 +39,40 @@ def test_repair_rows(spark):
     assert mojibake.repair(df.limit(0), "id", "t").count() == 0
 
 
+@pytest.fixture(scope="module")
+def look(spark):
+    return confusables.Lookalikes(confusables.prototypes(spark))
+
+
 @pytest.mark.parametrize(("text", "plain"), [("ＫＭＨ-１２", "KMH-12"), ("ТХ480", "TX480"), ("Кöldе", "Kölde"), ("насос 泵", "насос 泵"), ("Φ12 70μm 5Ω", "Φ12 70μm 5Ω"), ("⽔箱⻋", "水箱车"), ("a​b\xadc﻿", "abc"), ("a b c", "a b c"), ("HAC–1−2", "HAC-1-2"), ("Vér", "Vér"), ("нaсос", "насос"), ("（新），。", "（新），。"), ("", ""), (None, None)])
-def test_plain_form(text, plain):
-    assert confusables.plain_form(text) == plain
+def test_plain_form(look, text, plain):
+    assert look.plain(text) == plain
+    assert look.disguised(text) == (plain != text)
+
+
+def test_greek_letters_in_russian_words(look):
+    assert look.plain("насοс") == "насос" and look.plain("Φ12 насос 70μm") == "Φ12 насос 70μm"
+
+
+@pytest.mark.parametrize(("text", "plain"), [("Ꭺ12", "A12"), ("ՕK-1", "OK-1"), ("ꓮB", "AB"), ("ᴋᴍʜ-1", "KMH-1"), ("ℝ12", "R12"), ("𝐊1", "K1"), ("ϹA1", "CA1"), ("ѵ2", "v2"), ("Ⅳ", "IV"), ("ﬁt", "fit"), ("ＫＭＨ—1", "KMH—1")])
+def test_look_alikes_of_other_scripts(look, text, plain):
+    assert look.plain(text) == plain and look.disguised(text) and look.skeleton(text) == look.skeleton(plain)
+
+
+@pytest.mark.parametrize("text", ["Հայերեն", "Αθήνα", "łódź", "насос", "士 土 0O 1lI", "①", "5Ω μ"])
+def test_words_of_other_scripts_stay(look, text):
+    assert look.plain(text) == text and not look.disguised(text)
+
+
+def test_skeletons_keep_digits_and_letters_apart(look):
+    assert len({look.skeleton(x) for x in ("0", "O", "1", "l", "I", "m", "rn", "士", "土")}) == 9
+    assert look.skeleton(None) is None and look.skeleton("") == "" and look.skeleton("é") == look.skeleton("e\u0301")
 
 
-def test_greek_letters_in_russian_words():
-    assert confusables.plain_form("насοс") == "насос" and confusables.plain_form("Φ12 насос 70μm") == "Φ12 насос 70μm"
+def test_found_rows(spark):
+    df = spark.createDataFrame([(1, "КMH-1", 0), (2, "KMH-1", 0), (3, None, 0), (4, "", 0), (1, "КMH-1", 0), (5, "好" * 100_000 + "​", 0)], "row_id long, value string, plain int")
+    assert sorted(r.row_id for r in confusables.found(df, "value").collect()) == [1, 1, 5]
+    assert confusables.found(df.limit(0), "value").count() == 0
 
 
 def test_skeleton_groups(spark):
@@ -68,13 +95,13 @@ def test_groups_cover_all_fields(spark, tmp_path):
     assert got == {("reported_issue", "泵​漏油", "泵漏油"), ("part_code", "КMH-1", "KMH-1"), ("part_code", "KMH-1", "KMH-1"), ("part_name", "⽔泵", "水泵"), ("part_name", "水泵", "水泵")}
 
 
-def test_suspect_filter_misses_nothing():
+def test_suspect_filter_misses_nothing(look):
     import re
 
     rnd = random.Random(2)
     for _ in range(20_000):
         s = chr(rnd.choice([rnd.randrange(0x20, 0x3000), rnd.randrange(0x3000, 0xD800), rnd.randrange(0xE000, 0x1F000)]))
-        if confusables.plain_form("A" + s) != "A" + s:
+        if look.disguised("A" + s):
             assert re.search(confusables.SUSPECT, s), hex(ord(s))
 
 
@@ -158,13 +185,13 @@ def test_abuse_rows(spark):
     assert counts[abuse.SYMBOLS["a"], abuse.SYMBOLS["b"]] == 2
 
 
-def test_random_texts_never_crash():
+def test_random_texts_never_crash(look):
     rnd = np.random.RandomState(1)
     for _ in range(300):
         s = "".join(chr(c) for c in rnd.choice([*range(32, 127), *range(0xA0, 0x180), *range(0x400, 0x460), *range(0x4E00, 0x4F00), 0xFFFD, 0x200B, 0xFF21, 10], 80))
         mojibake.restore(s)
         markup.clean(s)
-        confusables.skeleton(s)
+        look.disguised(s)
         abuse.score(s, LM)
 
 
