@@ -2,11 +2,14 @@
 
 Characters are mapped back to the bytes of a legacy codec, an automaton over the byte structure of the
 supposed true encoding finds the maximal well-formed multibyte spans, and only those spans are decoded.
-A span counts if it decodes to common characters while its own characters are uncommon ones.
+A span counts if it decodes to common characters while its own characters are uncommon ones. Stretches whose true or
+supposed codec is a further single-byte one are read as a whole in each pair of codecs, and the best reading is scored against
+the stretch as it is.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +23,10 @@ from fieldloom.session import spread, table
 #: fixed values: (codec it was read with, encoding it was written in)
 SINGLE_BYTE = ("cp1252", "cp1251")
 DOUBLE_BYTE = ("gb18030", "cp932", "big5", "cp949")
+#: fixed values: further single-byte codecs that UTF-8 and GB may have been read with; Cyrillic codecs, both as written and as read with
+FURTHER = ("cp850", "cp437", "cp866", "koi8-r", "cp1250", "mac_roman", "mac_cyrillic")
+CYRILLIC = ("cp1251", "koi8-r", "cp866")
+READ_AS = ("cp1252", "cp1251", "koi8-r", "cp866", "cp850", "cp437", "cp1250", "mac_roman")
 
 
 @lru_cache(maxsize=1)
@@ -56,7 +63,7 @@ def _odd() -> re.Pattern:
     return re.compile(rf"[^\n\r\t -~{re.escape(plain)}]")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=16)
 def _byte_table(codec: str) -> dict[str, int]:
     """Every character of a single-byte codec to its byte; bytes it leaves open stand for themselves."""
     out = {chr(b): b for b in range(0x80, 0xA0)}
@@ -84,14 +91,14 @@ class _Bytes(dict):
     def __init__(self, codec: str) -> None:
         super().__init__()
         self.codec = codec
-        if codec in SINGLE_BYTE:
+        if codec not in DOUBLE_BYTE:
             self.update({c: bytes((b,)) for c, b in _byte_table(codec).items()})
 
     def __missing__(self, c: str) -> bytes:
         b = b"\0"
         if c < "\x80":
             b = c.encode()
-        elif self.codec not in SINGLE_BYTE and (self.codec == "gb18030" or not 0x370 <= ord(c) < 0x530):
+        elif self.codec in DOUBLE_BYTE and (self.codec == "gb18030" or not 0x370 <= ord(c) < 0x530):
             try:  # letters of other alphabets are letters, whatever bytes an East Asian codec has for them
                 b = c.encode(self.codec)
             except UnicodeEncodeError:
@@ -100,7 +107,7 @@ class _Bytes(dict):
         return b
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=16)
 def _char_bytes(codec: str) -> _Bytes:
     return _Bytes(codec)
 
@@ -199,6 +206,101 @@ def _chunk_spans(chunk: str, before: str, after: str, known: frozenset = frozens
     return found
 
 
+#: fixed values: how often the letters of Russian are used, in thousandths
+RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 17, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 0.4, 0.4), strict=True))
+_RATE = {c: math.log(n / 1000) for c, n in RUSSIAN.items()}
+_RU_WORD = re.compile("[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+")
+#: words of one stretch that was decoded together, with what may stand between them; Chinese text parts stretches
+_FOREIGN_RUN = "[^\x00-\x7f\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef]+"
+_JOINED = re.compile(f"{_FOREIGN_RUN}(?:[ ,.!?;:()-]{{1,2}}{_FOREIGN_RUN})*")
+_WORD = re.compile(r"[^\x00-\x7f]+")
+_BETWEEN = re.compile(r"[ ,.!?;:()-]{1,2}")
+
+
+def russian_rate(text: str) -> float:
+    """How much a text reads like Russian: the mean logarithm of its letters' frequencies, characters outside well-formed words counting as rarer than any letter."""
+    n = total = 0.0
+    for word in re.findall(r"[^\x00-\x7f]+", text):
+        whole = _RU_WORD.fullmatch(word) is not None
+        for c in word.lower():
+            n += 1
+            total += _RATE.get(c, -12.0) - (0.0 if whole else 3.0)
+    return total / n if n else 0.0
+
+
+def _cyrillic_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Stretches of eight characters or more that read like Russian in another pair of codecs and like nothing as they are."""
+    for m in _JOINED.finditer(text):
+        src = m[0]
+        dense = re.sub(r"[\x00-\x7f]", "", src)
+        if len(dense) < 8 or (now := russian_rate(src)) > -4.0:
+            continue
+        best: tuple[float, str] | None = None
+        for read in READ_AS:
+            table_ = _byte_table(read)
+            if not all(c in table_ for c in dense):
+                continue
+            raw = bytes(ord(c) if c < "\x80" else table_[c] for c in src)
+            for true in CYRILLIC:
+                s = raw.decode(true, "replace")
+                if true != read and (rate := russian_rate(s)) > -3.7 and rate > now + 1.0 and (best is None or rate > best[0]):
+                    best = (rate, s)
+        if best:
+            yield m.start(), m.end(), best[1]
+
+
+def _utf8_words(text: str, codec: str) -> Iterator[tuple[int, int, str]]:
+    """Runs of words that each are UTF-8 throughout in a codec, decoded together; so words of one letter come back with the others."""
+    of, run = _char_bytes(codec), []
+    for m in [*_WORD.finditer(text), None]:
+        s = None
+        if m is not None and (len(m[0]) > 1 or codec == "gb18030"):
+            raw = b"".join(of[c] for c in m[0])
+            try:
+                s = None if b"\0" in raw else raw.decode("utf-8")
+            except UnicodeDecodeError:
+                s = None
+        if run and (s is None or not _BETWEEN.fullmatch(text[run[-1][1] : m.start()])):
+            a, z = run[0][0], run[-1][1]
+            yield a, z, "".join(w + text[e:n] for (_, e, w), n in zip(run, [x[0] for x in run[1:]] + [z], strict=True))
+            run = []
+        if s is not None:
+            run.append((m.start(), m.end(), s))
+
+
+def _whole_readings(text: str) -> Iterator[tuple[int, int, str]]:
+    """Stretches that are UTF-8 throughout in one of the codecs, or two-byte GB throughout in a further one."""
+    seen: list[tuple[int, int]] = []
+    for codec in (*SINGLE_BYTE, *FURTHER, "gb18030"):
+        for a, b, s in _utf8_words(text, codec):
+            if any(x < b and a < y for x, y in seen):
+                continue
+            bare = re.sub(r"[\x00-\x7f]", "", s)
+            seen += [(a, b)] * (codec != "gb18030")
+            if len(bare) >= 3 and all(c in _readable() for c in bare) and (codec != "gb18030" and _level_share(s) > 0 or russian_rate(s) > max(-4.0, russian_rate(text[a:b]) + 1)):
+                seen.append((a, b))
+                yield a, b, s
+    for m in _JOINED.finditer(text):
+        a, b = m.span()
+        if b - a < 6 or any(x < b and a < y for x, y in seen):
+            continue
+        latin = all(c in _byte_table("cp1252") or c < "\x80" for c in m[0])
+        for codec in (*FURTHER, *SINGLE_BYTE):
+            of = _char_bytes(codec)
+            raw = b"".join(of[c] for c in m[0])
+            s = raw.decode("gb2312", "replace")
+            bare = re.sub(r"[\x00-\x7f]", "", s)
+            chinese = codec in FURTHER and not latin and len(bare) >= 3 and all(c in _good() for c in bare)
+            if b"\0" not in raw and (chinese or len(bare) >= 4 and russian_rate(s) > -3.7 and all("Ѐ" <= c <= "ӿ" for c in bare)):
+                yield a, b, s
+                break
+
+
+def _level_share(s: str) -> float:
+    first = _levels()[0]
+    return sum(c in first for c in s) / len(s) if s else 0.0
+
+
 def garbled_spans(text: str | None) -> list[tuple[int, int, str | None]]:
     """(start, end, restored) of every stretch that was decoded wrongly, in order, without overlaps.
 
@@ -212,15 +314,22 @@ def garbled_spans(text: str | None) -> list[tuple[int, int, str | None]]:
     return _scan(text, known) if known else kept
 
 
+#: a letter that is neither Chinese nor Russian, a box, a sign of a legacy codec, or Russian letters in an order of cases that no word has
+_UNUSUAL = re.compile("[\u0080-\u036f\u2190-\u25ff\u0402-\u040f\u0452-\u045f\u2018-\u203a\u2260-\u2265\uf8ff]{2}|[\u0400-\u045f\u2013\u2014][\u00a0-\u00ff\u2190-\u25ff]|[а-яё][А-ЯЁ]{2}|[\u0400-\u045f]{8}|[\u0400-\u045f]{4}[ ,.][\u0400-\u045f]{4}")
+
+
 def _scan(text: str, known: frozenset) -> list[tuple[int, int, str | None]]:
     out: list[tuple[int, int, str | None]] = []
     for m in _CHUNK.finditer(text):
         chunk, base = m.group(), m.start()
         if not (_odd().search(chunk) or _LATIN_JOINED.search(text[max(0, base - 1) : m.end() + 3])):
             continue
+        whole = [(base + x, base + y, s) for x, y, s in (*_whole_readings(chunk), *_cyrillic_spans(chunk))] if _UNUSUAL.search(chunk) else []
         for part in re.finditer(r"[^\x00-\x7f]+", chunk):
             a, b = base + part.start(), base + part.end()
-            out += [(a + x, a + y, s) for x, y, s in _chunk_spans(part.group(), text[max(0, a - 4) : a], text[b : b + 4], known)]
+            if not any(p <= a and b <= q for p, q, _ in whole):  # a reading of more text is the surer one
+                out += [(a + x, a + y, s) for x, y, s in _chunk_spans(part.group(), text[max(0, a - 4) : a], text[b : b + 4], known)]
+        out += whole
     kept: list[tuple[int, int, str | None]] = []
     end = -1
     for a, b, s in sorted(out, key=lambda x: (x[0], -(x[1] - x[0]), x[2] is None)):
@@ -230,16 +339,18 @@ def _scan(text: str, known: frozenset) -> list[tuple[int, int, str | None]]:
     return kept
 
 
-def restore(text: str | None, rounds: int = 3) -> str | None:
-    """The text with every restorable stretch decoded, again where it was garbled more than once."""
-    for _ in range(rounds):
-        spans = [x for x in garbled_spans(text) if x[2] is not None]
-        if not spans:
-            break
+def restore(text: str | None) -> str | None:
+    """The text with every restorable stretch decoded, again until nothing is left to decode. No round lengthens a text, and none is made twice, so the rounds end."""
+    seen = set()
+    while text not in seen:
+        seen.add(text)
         out, at = [], 0
-        for a, b, s in spans:
-            out += [text[at:a], s]
-            at = b
+        for a, b, s in garbled_spans(text):
+            if s is not None:
+                out += [text[at:a], s]
+                at = b
+        if not out:
+            break
         text = "".join(out) + text[at:]
     return text
 
