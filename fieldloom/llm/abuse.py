@@ -3,8 +3,8 @@
 Noisy channel: every character of a suspicious stretch is a lattice column of what it may stand for (itself, the
 letter a digit or sign imitates, a sound-alike or look-alike, nothing if it only spaces letters out or repeats
 one), and Viterbi decoding picks the likeliest reading under a character bigram model. The model's counts
-come from all documents; its alphabet is fixed, so its size is. The restored text is scored by a weighted
-word list in Chinese, English and Russian; a document counts from a score of 1 on.
+come from all documents; its alphabet is fixed, so its size is. The restored text is scored by a word list (words.py), and by expressions whose log-odds are
+fitted on a bounded sample of review verdicts; a document counts from a score of 1 on.
 """
 
 from __future__ import annotations
@@ -20,37 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.session import spread, table
-
-#: fixed values: weighted patterns by category. Blanks may be missing where letters were spaced out.
-LEXICON: dict[str, dict[float, str]] = {
-    "abusive": {
-        1.0: "傻逼|傻叉|傻屌|脑残|白痴|智障|蠢货|蠢猪|蠢驴|笨蛋|混蛋|混账|王八|忘八端|龟孙|狗东西|狗日的|狗娘养|狗杂种|杂种|畜生|人渣|败类|贱人|贱货|贱骨头|婊子|臭不要脸|不要脸|垃圾玩意|垃圾东西|(?<!危险)(?<!固体)(?<!建筑)(?<!工业)废物(?![箱桶回处堆料品利收])|饭桶|他妈的|你妈的|操你|草泥马|日你|去死吧|去你妈|滚蛋|(?<![珠球子轴承柱])滚出|赶紧滚|给我滚|滚远点|快滚|滚回去|打断你的腿|弄死你|打死你|整死你|砍死你|杀了你|宰了你|揍死|等着挨揍|揍你|扇你|[是个帮的] ?(?:sb|nc)(?![a-z0-9])|cnm|nmsl|piece of shit|shithead|bullshit|fuck|motherf|bastard(?! (?:file|cut|size|thread))|asshole|arsehole|dickhead|bitch|cunt|moron|idiot(?! light)|imbecile|brain-?dead|human scum|shut your mouth|shut the fuck|drop dead|go to hell|rot in hell|kill yourself|(?:will|ll|gonna) kill you|break your (?:teeth|neck|legs|arms|face|jaw|bones)|smash your (?:face|head|teeth)|beat you up|punch you|идиот|(?<![а-я])дурак|(?<![а-я])дура(?![а-я])|дебил|кретин|(?<![а-я])урод|жалкий урод|(?<![а-я])твар[ьи](?![а-я])|скотин|(?<![а-я])мразь|сволоч|подонок|подонки|дерьмо|говно|(?<![а-я])сук[аи](?![а-я])|(?<![а-я])бля(?:дь|ть|(?![а-я]))|пош[её]л вон|пошла вон|пошли вон|пош[её]л на|заткнись|получишь в морду|набью морду|дам в морду|(?<![а-я])убью|тупая (?:скотин|дура|корова|тварь|баба|курица)|тупой (?:урод|идиот|дурак|козёл|козел|баран)|ублюд|придур",
-        0.5: "什么都不会|别让我看见你|气死老子|老子|get off my site|loser|get lost|useless|stupid|scum|тупые",
-    },
-    "hateful": {
-        1.0: "(?:全都|都|全)是(?:贼|祸害|骗子|小偷|强盗|害虫)|天生低人一等|低人一等|劣等民族|劣等人|下等人|下贱|不算人|不是人(?!为)|不配碰|不配做人|不配活|只配扫地|没一个好东西|没有一个好东西|就该被赶|该被赶走|见一个打一个|滚回老家|全部滚|born thieves|are (?:all )?(?:thieves|filth|vermin|parasites|cockroaches|rats)|is filth|subhuman|sub-human|not deserve to live|driven out|beat them(?! (?:flat|into|with))|should be (?:exterminated|wiped out|shot|deported)|inferior race|not (?:even )?human|не люди|нелюд|недочеловек|все воры|грязные (?:твари|животные|свиньи|обезьяны)|гнать их|черножоп|(?<![а-я])чурк|(?<![а-я])хохл|(?<![а-я])жид(?:ы|ов)?(?![а-я])|бабы за рычаг",
-        0.5: "早该清理干净|别让他们进场|谁雇谁倒霉|keep them off|everyone knows it|должны уехать|место на кухне",
-    },
-    "sexual": {
-        1.0: "约炮|做爱|作爱|裸照|裸聊|裸体照|脱光|胸真大|奶子|想摸|陪我上床|跟我上床|陪睡|陪我睡|想睡你|一夜情|(?<!打)开房(?![门间屋])|骚货|发骚|色情|性爱|床照|约p(?![a-z])|约啪|have sex|sex with|tits|boobs|nudes?(?![a-z])|noods|noodz|naked(?! (?:wire|eye|flame|light|cable|conductor|copper))|blow ?job|horny|porn|sleep with (?:me|you)|my dick|suck my|spread your legs|голые фото|голая|голую|обнаж[её]нн(?:ая|ую)|переспать|трахн|трахать|(?<![а-я])секс|сиськ|раздевайся|разденься|покажи грудь|интим",
-        0.5: "别装清纯|给你加钱|地址发我|hey sweetie|i pay cash|nobody will know",
-    },
-}
-#: fixed values: what a digit or sign may stand for
+from fieldloom.llm import words
+from fieldloom.session import materialize, spread, table
+
+LEXICON: dict[str, str] = {category: "|".join(entries) for category, entries in words.WORDS.items()}
+#: what a digit or sign may stand for
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "*": "aeiou", "#": "aeiou", "€": "e", "£": "l"}
-#: fixed values: Chinese characters written for others that sound or look alike
+#: Chinese characters written for others that sound or look alike
 ALIKE = {"煞": "傻", "沙": "傻", "笔": "逼", "比": "逼", "币": "逼", "辣": "垃", "鸡": "圾", "衮": "滚", "果": "裸", "愛": "爱", "艹": "操", "草": "操", "曹": "操", "馬": "妈", "玛": "妈", "尼": "你", "费": "废", "勿": "物", "婊": "婊", "表": "婊", "玍": "蛋", "旦": "蛋", "忘": "王", "痪": "痴", "纯": "蠢", "贷": "货", "泡": "炮", "祼": "裸", "睐": "脑", "餐": "残", "約": "约", "脫": "脱"}
-#: fixed values: everyday words in which such a character stands for itself
+#: everyday words in which such a character stands for itself
 ITSELF = "[效结如水成苹后糖]果|果[然断汁实]|[圆珠钢签字铅毛画]笔|笔[记者杆尖]|比[例对较重值如]|[对相占]比|[绿除割杂]草|草[地图稿坪皮]|尼龙|[免收花油运]费|费用|辣椒|[泥流细黄河风砂]沙|沙[子土石尘地漠]|[仪电油手水钟图列]表|表[面示格盘]|[气灯水油]泡|泡[沫水]|[快午晚]餐|鸡蛋|[贷借]款|忘记|单纯|纯[净水度]|货币"
 SEPARATORS = " .-_*·~,、'`|/"
 ZERO = dict.fromkeys(map(ord, "​‌‍⁠﻿­̶̷"))
 
 CATEGORIES = tuple(LEXICON)
 #: characters of disguise are left to the class of all others, lest the model learn the disguise
-_HAN = sorted(set(re.findall("[一-鿿]", "".join(p for c in LEXICON.values() for p in c.values()))) - set(ALIKE) | set("".join(ALIKE.values())))
+_HAN = sorted(set(re.findall("[一-鿿]", "".join(p for p in LEXICON.values()))) - set(ALIKE) | set("".join(ALIKE.values())))
 _LETTERS = "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяё"
-#: the model's alphabet: anything else, blank, digit, letters, the characters of the word list; fixed with the list
+#: the model's alphabet: anything else, blank, digit, letters, the characters of the word list; its size is fixed with the list
 SYMBOLS = {"": 0, " ": 1, "0": 2} | {c: i + 3 for i, c in enumerate([*_LETTERS, *_HAN])}
 SIZE = len(SYMBOLS)
 
@@ -100,9 +87,9 @@ def costs(counts: list[tuple[int, int]]) -> np.ndarray:
     m = np.full((SIZE, SIZE), 0.05)
     for pair, n in counts:
         m[divmod(pair, SIZE)] += n
-    words = [w for c in LEXICON.values() for p in c.values() for w in re.split(r"\|", re.sub(r"\(\?[^()]*\)|[\[\]()?\\]", " ", p))]
+    listed = [w for p in LEXICON.values() for w in re.split(r"\|", re.sub(r"\(\?[^()]*\)|[\[\]()?\\]", " ", p))]
     own = np.zeros((SIZE, SIZE))
-    for w in words:
+    for w in listed:
         ids = [SYMBOLS.get(c, 0) for c in f" {w} "]
         for a, b in zip(ids, ids[1:], strict=False):
             own[a, b] += 1
@@ -117,9 +104,10 @@ SWAP, DROP, REPEAT, OTHER, SIGN, SECOND, DIGIT = 1.0, 0.2, 1.0, 7.0, 6.0, 1.0, 5
 
 
 def decode(window: str, lm: np.ndarray, before: str = " ") -> str:
-    """The likeliest reading of a stretch: Viterbi over its lattice; a state is the last symbol put out.
+    """The likeliest reading of a stretch: exact Viterbi over its lattice; a state is the last symbol put out.
 
-    Readings are chains of what was put out, (chain before, character), so that a stretch of any length takes linear time.
+    There are at most as many states as readings of a character and of the one before the separators. The model looks back one
+    symbol, so a stretch that begins and ends with characters of one reading is read as it would be in the whole text. Readings are chains of what was put out, (chain before, character), so that a stretch of any length takes linear time.
     """
     states: dict[tuple[int, str], tuple[float, tuple | None]] = {(SYMBOLS.get(before, 0), ""): (0.0, None)}
     for i, c in enumerate(window):
@@ -139,7 +127,7 @@ def decode(window: str, lm: np.ndarray, before: str = " ") -> str:
                 total = cost + (DROP if lone else REPEAT)
                 if (sym, last) not in new or total < new[sym, last][0]:
                     new[sym, last] = (total, out)
-        states = dict(sorted(new.items(), key=lambda kv: kv[1][0])[:24])
+        states = new
     least = min(cost for cost, _ in states.values())
     return min(_put_out(out) for cost, out in states.values() if cost == least)
 
@@ -163,10 +151,10 @@ _SPACED = re.compile(
     rf"|(?:{_HANZI}{_SEP}+)*{_HANZI}(?:{_BARE}\1*{_HANZI}+|{_SEP}+{_HANZI}(?!{_HANZI}))|[个帮是的] ?s[ .*-]+b(?![a-z])"
 )
 _LEETED = re.compile(r"(?<![\w@$!*|+#])(?=[\w@$!*|+#]*[a-zа-я])(?=[\w@$!*|+#]*[0-9@$!*|+#])[\w@$!*|+#]{2,}", re.I)
-_REPEATED = re.compile(r"[a-zа-яё]{0,12}([a-zа-яё])\1{2,}[a-zа-яё]{0,12}")
-_HAN_REPEAT = re.compile(rf"({_HANZI})\1\1")
-_HAN_REPEATED = re.compile(rf"{_HANZI}{{0,12}}?({_HANZI})\1{{2,}}{_HANZI}{{0,12}}")
+_REPEAT = re.compile(rf"([a-zа-яё]|{_HANZI})\1\1")
+_LETTERS_RUN, _HAN_RUN = re.compile("[a-zа-яё]+"), re.compile(f"{_HANZI}+")
 _ALIKE = re.compile(f"(?:{ITSELF})|([{''.join(ALIKE)}][一-鿿]{{0,2}})")
+_HIDDEN = re.compile(r"(?<=[A-Za-z])[*#](?=[A-Za-z])")
 _MIXED = re.compile(r"(?<![a-zа-яё])(?=[a-zа-яё]*[a-z])(?=[a-zа-яё]*[а-яё])[a-zа-яё]{3,}")
 _TO_RU = str.maketrans("abcehkmoptxy", "авсенкмортху")
 _TO_LATIN = {ord(k): v for k, v in zip("авсенкмортхуі", "abcehkmoptxyi", strict=True)}
@@ -190,9 +178,13 @@ def _known(window: str, lm: np.ndarray, most: int = 50_000) -> str:
 
 
 def readings(text: str, lm: np.ndarray) -> list[str]:
-    """The restored text; and, where a stroke was read as l, the text with all strokes of words read as i."""
+    """The restored text; where a stroke was read as l, the text with all strokes of words read as i, too; and where a sign hides a vowel, the text with each vowel."""
     first, strokes = _restore(text, lm, False)
-    return [first, _restore(text, lm, True)[0]] if strokes else [first]
+    out = [first, _restore(text, lm, True)[0]] if strokes else [first]
+    if _HIDDEN.search(text):
+        plain = fold(text)
+        out += [_restore(_HIDDEN.sub(v, plain), lm, False)[0] for v in "aeiou"]
+    return out
 
 
 def restore(text: str, lm: np.ndarray) -> str:
@@ -226,9 +218,9 @@ def _restore(text: str, lm: np.ndarray, straight: bool) -> tuple[str, bool]:
         return read
 
     t = _LEETED.sub(leeted, t)
-    t = _REPEATED.sub(lambda m: decode(m[0], lm), t)
-    if _HAN_REPEAT.search(t):
-        t = _HAN_REPEATED.sub(lambda m: decode(m[0], lm), t)
+    if _REPEAT.search(t):  # whole runs of letters in which one repeats
+        for runs in (_LETTERS_RUN, _HAN_RUN):
+            t = runs.sub(lambda m: decode(m[0], lm) if _REPEAT.search(m[0]) else m[0], t)
     return _ALIKE.sub(lambda m: decode(m[1], lm, t[m.start() - 1 : m.start()] or " ") if m[1] else m[0], t), strokes
 
 
@@ -265,55 +257,149 @@ def _first(p: str) -> set[str]:
 
 
 @lru_cache(maxsize=1)
-def _patterns() -> list[tuple[str, float, re.Pattern]]:
-    """Category, weight and pattern, apart for each script and behind a look at the first character, which rules out most places."""
+def _patterns() -> list[tuple[str, re.Pattern]]:
+    """Category and pattern, apart for each script and behind a look at the first character, which rules out most places."""
     loose = lambda p: p.replace(" ?", "\0").replace(" ", " ?").replace("\0", " ?")
     out = []
-    for c, ps in LEXICON.items():
-        for w, p in ps.items():
-            by: dict[str, list[str]] = {}
-            for x in _alternatives(p):
-                low = min(_first(x))
-                by.setdefault("Chinese" if low >= "一" else "Cyrillic" if low >= "а" else "Latin", []).append(x)
-            for xs in by.values():
-                firsts = "".join(sorted(set().union(*map(_first, xs))))
-                out.append((c, w, re.compile(f"(?=[{firsts}])(?:{loose('|'.join(xs))})")))
+    for c, p in LEXICON.items():
+        by: dict[str, list[str]] = {}
+        for x in _alternatives(p):
+            low = min(_first(x))
+            by.setdefault("Chinese" if low >= "一" else "Cyrillic" if low >= "а" else "Latin", []).append(x)
+        for xs in by.values():
+            firsts = "".join(sorted(set().union(*map(_first, xs))))
+            out.append((c, re.compile(f"(?=[{firsts}])(?:{loose('|'.join(xs))})")))
     return out
 
 
-#: fixed values: words of the trade and reports of a complaint that hold parts of listed words
-HARMLESS = re.compile(r"grease nipples?|kill switch|dead ?band|cockpit|scunthorpe|cock valve|stripped|bitcoin|секстант|секстан|сексти|дурал\w+|судоку|dura\w*|идиотизм")
+_HARMLESS = re.compile(words.HARMLESS)
 
 
-def score(text: str | None, lm: np.ndarray) -> dict[str, float]:
-    """Weight of different listed expressions by category; all 0 for null, empty and clean texts."""
+def _weights(read: list[str]) -> dict[str, float]:
     out = dict.fromkeys(CATEGORIES, 0.0)
-    if not text or text.isspace():
-        return out
-    found = {(c, w, m[0]) for t in readings(text, lm) for c, w, p in _patterns() for m in p.finditer(HARMLESS.sub(" ", t))}
-    for c, w, _ in found:
-        out[c] += w
+    for c, _ in {(c, m[0]) for t in read for c, p in _patterns() for m in p.finditer(_HARMLESS.sub(" ", t))}:
+        out[c] += 1.0
+    return out
+
+
+def score(text: str | None, lm: np.ndarray) -> dict[str, float]:
+    """How many different listed expressions of each category the restored text holds; all 0 for null, empty and clean texts."""
+    return _weights(readings(text, lm) if text and not text.isspace() else [])
+
+
+# --- what reviewers' verdicts say ----------------------------------------------------------------
+
+#: reviewed rows that are fitted on, at most; expressions that are kept of them, at most; share of verdicts that are wrong
+LABELS, EXPRESSIONS, WRONG = 20_000, 20_000, 0.05
+#: log-odds (their lower 95 % bounds) that a sentence's six strongest expressions must sum to, to count by themselves
+ENOUGH = 4.0
+_SENTENCE = re.compile(r"[。！？!?\n;；]+|\.(?=\s|\Z)")
+_NOT_WORD = re.compile(r"[\W\d_]+")
+_HAN_APART = re.compile(f"({_HANZI}+)")
+
+
+def _plain_sentence(s: str) -> str:
+    """Words between single blanks, a blank at both ends; runs of Chinese characters are words."""
+    return " " + _NOT_WORD.sub(" ", _HAN_APART.sub(r" \1 ", s)).strip() + " "
+
+
+def expressions(sentence: str) -> set[str]:
+    """What is counted of a sentence: Chinese substrings of two to four characters, other words by themselves and in pairs, with their blanks."""
+    out: set[str] = set()
+    last = ""
+    for w in _plain_sentence(sentence).split():
+        if "一" <= w[0] <= "鿿":
+            out.update(w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1))
+            last = ""
+        else:
+            out.add(f" {w} ")
+            if last:
+                out.add(f" {last} {w} ")
+            last = w
     return out
 
 
-def scores(docs: DataFrame, row_id: str, text: str, *carry: str) -> DataFrame:
-    """(row_id, *carry, abusive, hateful, sexual, score): score is the largest category's weight, or the sum where a half point supports a whole one."""
+def fit(docs: DataFrame, row_id: str, text: str, labels: DataFrame, lm: np.ndarray) -> dict[str, float]:
+    """Expression to log-odds of an objectionable text, from reviewed documents.
+
+    labels: (row_id, label), any verdict but none being one against the text; a document counts by the share of its verdicts
+    that are, equal texts once, and WRONG of the verdicts are taken to be mistaken. Of each expression the lower bound of its
+    log-odds is kept where it is positive, so what is rare weighs little however one-sided. Without labels there are none.
+    """
+    sample = labels.where(F.col(row_id).isNotNull() & F.col("label").isNotNull()).select(row_id, "label").orderBy(F.xxhash64(row_id, "label")).limit(LABELS)
+    share = sample.groupBy(row_id).agg((F.lit(WRONG) + (1 - 2 * WRONG) * F.avg((F.col("label") != "none").cast("double"))).alias("_p"))
+    own = docs.where(F.col(text).isNotNull()).select(row_id, F.col(text).alias("_text")).join(F.broadcast(share), row_id)  # at most LABELS rows
+    rows = materialize(own.groupBy("_text").agg(F.avg("_p").alias("_p")))
+    total = rows.agg(F.coalesce(F.sum("_p"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("_p")), F.lit(0.0))).head()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = sorted(set().union(*(expressions(s) for s in _SENTENCE.split(restore(t, lm)))))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([p] * len(found), pa.float64())], names=["x", "p"])
+
+    counts = rows.select("_text", "_p").mapInArrow(run, "x string, p double").groupBy("x").agg((F.sum("p") + 0.5).alias("bad"), (F.sum(1 - F.col("p")) + 0.5).alias("good"))
+    odds = F.ln(F.col("bad") / (total[0] + 1)) - F.ln(F.col("good") / (total[1] + 1)) - 1.645 * F.sqrt(1 / F.col("bad") + 1 / F.col("good"))
+    best = counts.select("x", odds.alias("w")).where("w > 0").orderBy(F.desc("w"), "x").limit(EXPRESSIONS)
+    return {r.x: r.w for r in best.collect()}
+
+
+class Evidence:
+    """The fitted expressions as one automaton over a text."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        import ahocorasick
+
+        self.find = ahocorasick.Automaton() if weights else None
+        for x, w in weights.items():
+            self.find.add_word(x, (x, w))
+        if weights:
+            self.find.make_automaton()
+
+    def of(self, restored: str) -> float:
+        """The strongest sentence: the sum of its six strongest different expressions."""
+        if self.find is None:
+            return 0.0
+        best = 0.0
+        for s in _SENTENCE.split(restored):
+            if found := {x: w for _, (x, w) in self.find.iter(_plain_sentence(s))}:
+                best = max(best, sum(sorted(found.values())[-6:]))
+        return best
+
+
+def scores(docs: DataFrame, row_id: str, text: str, *carry: str, labels: DataFrame | None = None) -> DataFrame:
+    """(row_id, *carry, abusive, hateful, sexual, reviewed, score).
+
+    The categories count listed expressions; reviewed is what the expressions of reviewed documents say, 1 being enough; score is
+    the larger of their sum and that. A document counts from 1 on.
+    """
     lm = costs([(r.pair, r.n) for r in bigrams(docs, text).collect()])  # at most SIZE squared rows
+    learnt = fit(docs, row_id, text, labels, lm) if labels is not None else {}
     kept = spread(docs.select(row_id, *carry, F.col(text).alias("_text")), docs.sparkSession)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), *(f"{c} double" for c in CATEGORIES), "score double"])
+    names = [*CATEGORIES, "reviewed", "score"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), *(f"{c} double" for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = Evidence(learnt)
         for b in batches:
-            found = [score(t, lm) for t in b.column(b.num_columns - 1).to_pylist()]
-            cols = [pa.array([x[c] for x in found], pa.float64()) for c in CATEGORIES]
-            total = pa.array([sum(x.values()) if max(x.values()) >= 1 else max(x.values()) for x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols, total], names=[*b.schema.names[:-1], *CATEGORIES, "score"])
+            rows = []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                read = readings(t, lm) if t and not t.isspace() else []
+                by = _weights(read)
+                reviewed = evidence.of(read[0]) / ENOUGH if read else 0.0
+                rows.append((*by.values(), reviewed, max(sum(by.values()), reviewed)))
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.float64()) for c in cols)], names=[*b.schema.names[:-1], *names])
 
     return kept.mapInArrow(run, schema)
 
 
+def _scored(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"), "doc_id", "text", *carry, labels=table(spark, sf_dir, "review_labels").select("doc_id", "label"))
+
+
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _scored(spark, sf_dir)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +408,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By source (null is one of its own): documents, how many count, and their share."""
-    s = scores(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    s = _scored(spark, sf_dir, "source")
     hit = (F.col("score") >= 1).cast("int")
     each = [F.sum((F.col(c) >= 1).cast("int")).alias(c) for c in CATEGORIES]
     return s.groupBy("source").agg(F.count("*").alias("documents"), F.sum(hit).alias("found"), *each, F.avg(hit).alias("rate"))

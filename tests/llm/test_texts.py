@@ -204,6 +204,64 @@ def test_harmless_texts_do_not(text):
     assert max(abuse.score(text, LM).values()) < 1
 
 
+#: sentences written for this test alone, by category and language
+HELD_OUT = {
+    "abusive": ["你真是个废柴", "再打电话我就弄死你", "闭嘴吧你这个狗杂种", "What a dumbass you are", "You lying scumbag, I'll come for you and beat you", "Да ты просто мудак", "Заткнись, придурок", "Du bist ein Vollidiot", "Eres un gilipollas"],
+    "hateful": ["那帮人个个是强盗", "这种人不配做人", "They are nothing but parasites", "Those people should be deported", "All of them are vermin", "Все они преступники", "Убирайтесь домой, понаехали", "Ausländer raus"],
+    "sexual": ["晚上开房吗小姐姐", "给我看看你的裸照", "Send me nudes please", "show us your boobs", "Take off your shirt honey", "Хочу с тобой переспать", "Покажи грудь", "schick mir Nacktfotos"],
+}
+CLEAN = ["客户说服务太差，要求退款", "The operator was angry and filed a complaint", "Клиент недоволен ремонтом", "Der Kunde ist unzufrieden", "对讲机打不开，打你电话没人接", "只配套原厂滤芯", "Send them back to the depot", "Filters are filthy", "hot oil can burn you", "大臂胸板变形", "Mit Schlamm verschmutzt", "Cut the hose and burn the ends"]
+
+
+def test_held_out_sentences():
+    for category, texts in HELD_OUT.items():
+        found = [t for t in texts if sum(abuse.score(t, LM).values()) >= 1]
+        right = [t for t in found if abuse.score(t, LM)[category] >= 1]
+        assert len(found) >= 0.75 * len(texts) and len(right) >= 0.9 * len(found), (category, set(texts) - set(found))
+    assert [t for t in CLEAN if sum(abuse.score(t, LM).values()) >= 1] == []
+
+
+@pytest.mark.parametrize("n", [1, 13, 30, 5000])
+def test_repeats_anywhere_in_a_run(n):
+    assert abuse.score("абв" * n + "идиооооот", LM)["abusive"] >= 1 and abuse.score("检测" * n + "你个白白白痴", LM)["abusive"] >= 1
+
+
+def test_viterbi_equals_brute_force():
+    """The decoded reading of a stretch is the cheapest of all its readings."""
+    import itertools
+
+    lm, rnd = abuse.costs([(int(k), 50) for k in np.random.RandomState(3).choice(abuse.SIZE**2, 3000)]), random.Random(5)
+    for _ in range(150):
+        w = "".join(rnd.choice("b1t@h0煞5$a") for _ in range(rnd.randint(2, 6)))
+        options = []
+        for i, c in enumerate(w):
+            odd = c in "*@$!|#" and 0 < i < len(w) - 1
+            own = abuse.DIGIT if c.isdigit() else abuse.SIGN if odd else abuse.OTHER if c not in abuse.SYMBOLS and c not in abuse.SEPARATORS else 0.0
+            options.append([(c, own)] + [(x, abuse.SWAP + (abuse.SECOND if k and c in "1|" else 0.0)) for k, x in enumerate(abuse.LEET.get(c, "") + abuse.ALIKE.get(c, ""))])
+
+        def cost(reading, lm=lm):
+            at, total = abuse.SYMBOLS[" "], 0.0
+            for x, extra in reading:
+                to = 2 if x.isdigit() else abuse.SYMBOLS.get(x, 1 if x in abuse.SEPARATORS else 0)
+                total, at = total + extra + float(lm[at, to]), to
+            return total
+
+        if any(w[i] == w[i - 1] for i in range(1, len(w))):
+            continue  # repeats may be dropped, which the product below doesn't list
+        best = min(itertools.product(*options), key=lambda r: (cost(r), "".join(x for x, _ in r)))
+        assert abs(cost(best) - cost([next(o for o in os if o[0] == x) for os, x in zip(options, abuse.decode(w, lm), strict=True)])) < 1e-6
+
+
+def test_verdicts_are_learnt(spark):
+    bad, good = "you absolute walnut, nobody asked", "the pump was replaced and tested"
+    docs = [(i, f"{good} at site {chr(97 + i % 26)}{chr(97 + i // 26)}. " + (bad if i % 2 else good), "x") for i in range(120)] + [(500, bad + " again", "y"), (501, good, "y"), (502, None, "z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, "abusive" if i % 2 else "none") for i in range(120)] + [(3, "none"), (4, "sexual"), (None, "none"), (7, None), (999, "none")], "doc_id long, label string")
+    got = {r.doc_id: r for r in abuse.scores(df, "doc_id", "text", labels=labels).collect()}
+    assert got[500].reviewed >= 1 and got[500].score >= 1 and got[500].abusive == 0 and got[501].score < 1 and got[502].score == 0
+    assert abuse.fit(df, "doc_id", "text", labels.limit(0), LM) == {} and abuse.Evidence({}).of("x") == 0.0
+
+
 def test_abuse_rows(spark):
     df = spark.createDataFrame([(1, "你个傻逼", "s", 0.0), (2, None, None, 0.0), (3, "", "s", 0.0), (4, "好" * 100_000, "s", 0.0), (1, "你个傻逼", "s", 0.0)], "doc_id long, text string, source string, score double")
     got = [(r.doc_id, r.source, r.abusive, r.score) for r in abuse.scores(df, "doc_id", "text", "source").collect()]
