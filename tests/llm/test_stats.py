@@ -21,7 +21,7 @@ def test_tail_is_exact():
 
 def test_enrichment_rows(spark):
     texts = ["pump pump 泵漏油 泵漏油", "the pump", "The the a.b-c_ A.B-C", None, "", "x" * 100_000 + " 油" * 3, "the pump"]
-    df = spark.createDataFrame([(f"d{i}", t, i, 1) for i, t in enumerate(texts)], "doc_id string, text string, term int, n int")
+    df = spark.createDataFrame([(f"d{i}", t, i, 1) for i, t in enumerate(texts)], "doc_id string, text string, term int, code int")
     rows = enrichment.enrichment(df, "doc_id", "text").collect()
     got = {(r.doc_id, r.term): (r.tf, r.df, r.cf) for r in rows}
     assert got["d0", "pump"] == (2, 3, 4) and got["d0", "泵漏"] == (2, 1, 2) and got["d2", "a.b-c"] == (2, 1, 2)
@@ -39,6 +39,23 @@ def test_enrichment_rows(spark):
     assert enrichment.enrichment(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_terms_equal_their_definition(spark):
+    """Counts of every term of every part against a plain count."""
+    import re
+
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ab1._- A泵漏油鿿一，\n😀é") for _ in range(rnd.randint(0, 60))) for _ in range(900)]
+    df = spark.createDataFrame([(f"d{i}", "xy"[i % 2], t) for i, t in enumerate(texts)], "doc_id string, part string, t string")
+    got = {(r.doc_id, r.term): (r.part, r.tf, r.df) for r in enrichment.enrichment(df, "doc_id", "t", part="part").collect()}
+    want, seen = {}, Counter()
+    for i, t in enumerate(texts):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+        c = Counter([w.rstrip("._-") for w in re.findall("[a-z0-9][a-z0-9_.-]*", low)] + re.findall("(?=([一-鿿]{2}))", low))
+        want |= {(f"d{i}", w): ("xy"[i % 2], n) for w, n in c.items()}
+        seen.update(("xy"[i % 2], w) for w in c)
+    assert got == {k: (*v, seen[v[0], k[1]]) for k, v in want.items()}
+
+
 def corpus(spark, seed=7):
     rnd = random.Random(seed)
     rows = [(i, rnd.choice(["a"] * 6 + ["b"] * 3 + ["c"]), "word " * rnd.randint(1, 120) + str(i)) for i in range(3000)]
