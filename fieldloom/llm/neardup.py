@@ -10,6 +10,7 @@ their exact similarity. Exact copies are one text throughout and come back only
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,22 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("rep_a", "rep_b", "key_a", "key_b").mapInArrow(run, "rep_a bigint, rep_b bigint, similarity double")
 
 
+#: rows of blocks in a partition
+ROWS = 4_000_000
+
+
+@contextmanager
+def enough_partitions(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For what is written inside, at least as many shuffle partitions as keep each to ROWS rows; never fewer than the session has."""
+    key = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(own), -(-rows // ROWS))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def links(rows: DataFrame, row_id: str, *cols: Column) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members has (rep, row_id) of every row with a key, rep being the least id with that key;
     pairs has (rep_a, rep_b, similarity) of all similar distinct texts.
@@ -150,7 +167,8 @@ def links(rows: DataFrame, row_id: str, *cols: Column) -> tuple[DataFrame, DataF
     shared = blocks.select("block", F.col("rep").alias("rep_a")).join(blocks.select("block", F.col("rep").alias("rep_b")), "block").where("rep_a < rep_b")
     candidates = shared.select("rep_a", "rep_b").distinct()
     side = lambda x: texts.select(F.col("rep").alias(f"rep_{x}"), F.col("key").alias(f"key_{x}"))
-    return members, materialize(verified(near(candidates, texts).join(side("a"), "rep_a").join(side("b"), "rep_b")))
+    with enough_partitions(rows.sparkSession, texts.count() * BLOCKS):  # a count of written rows
+        return members, materialize(verified(near(candidates, texts).join(side("a"), "rep_a").join(side("b"), "rep_b")))
 
 
 def components(pairs: DataFrame, a: str = "rep_a", b: str = "rep_b") -> DataFrame:

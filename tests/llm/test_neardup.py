@@ -68,3 +68,13 @@ def test_components_and_empty(spark):
     assert got == {i: 1 for i in range(1, 21)} | {100: 100, 101: 100}
     members, links = N.links(spark.createDataFrame([], SCHEMA), "id", F.col("a"), F.col("b"))
     assert members.count() == links.count() == 0 and N.components(links).count() == 0
+
+
+def test_partitions_follow_rows(spark):
+    key = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(key)
+    with N.enough_partitions(spark, 100 * N.ROWS):
+        assert spark.conf.get(key) == "100"
+    with N.enough_partitions(spark, 0):
+        assert spark.conf.get(key) == own
+    assert spark.conf.get(key) == own

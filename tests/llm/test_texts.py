@@ -147,10 +147,35 @@ def test_markup_is_cleaned():
     assert markup.clean("<h2>泵</h2><ul><li>a<li>b</ul><table><tr><th>k</th><td>1&nbsp;2</td></tr><tr><td>x</td><td>y</td></tr></table><pre><code>s &lt;p&gt;</code></pre>") == "## 泵\n\n- a\n- b\n\nk | 1 2\nx | y\n\n```\ns <p>\n```"
     assert markup.clean("== 因 ==\n{| class=x\n! a !! b\n|-\n| c || d\n|}\n见[[x|泵]]'''重'''") == "# 因\na | b\nc | d\n见泵重"
     assert markup.clean("\\section{泵}\\begin{itemize}\n\\item \\textbf{重}~取\\SI{4}{\\newton\\metre}\n\\end{itemize}\\[ Q = 1 \\]") == "# 泵\n- 重 取4 Nm\n$Q = 1$"
+    for source, plain in [
+        ("<ol><li>a<li>b<ul><li>c</ul></ol>", "1. a\n2. b\n  - c"),
+        ("{| class=x\n! h\n! k\n|-\n| a\n| style=x | b\n|}", "h | k\na | b"),
+        ("{{a|{{b|c}}}} {{d}}", "a: b: c d"),
+        ("占 \\frac{a}{b+1} 的 \\textbf{重 \\emph{泵}}", "占 a/(b+1) 的 重 泵"),
+        ("\\begin{tabular}{ll}\na & b \\\\\nc & d\n\\end{tabular}", "a | b\nc | d"),
+        ("\\begin{enumerate}\\item a \\item b\\end{enumerate}", "1. a\n2. b"),
+        ("*em* _x_ a_b_c 42*2*3 ***bi***", "em x a_b_c 42*2*3 bi"),
+        ("<table><tr><td rowspan=2>x</td><td>1</td></tr><tr><td>2</td></tr></table>", "x | 1\nx | 2"),
+        ("压力<3MPa且温度>59 <x y> D:\\dir\\file", "压力<3MPa且温度>59 <x y> D:\\dir\\file"),
+        ("[[File:a.png|thumb|泵图]] [[泵]]", "泵图 泵"),
+        ("[a][1] [8]\n\n[1]: http://x", "a [8]"),
+        ("{{" * 3 + "x [[y", "{{" * 3 + "x [[y"),
+    ]:
+        assert markup.clean(source) == plain, source
+    assert markup.clean("\\textbf{" * 3000 + "x" + "}" * 3000) == "x" and markup.clean("{{a|" * 3000 + "x" + "}}" * 3000).endswith("a: x")
     assert markup.clean("**重** [a](b) `c`\n\n```\n# no\n```") == "重 a c\n\n```\n# no\n```"
     assert markup.clean("压力<3MPa #3缸 $53") == "压力<3MPa #3缸 $53" and markup.clean(None) is None and markup.clean("") == ""
 
 
+def test_rows_without_markup_stay_in_the_jvm(spark):
+    """What doesn't go to Python comes out as Python would have it."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ab 泵\n\t|>-=<&#*_~$[]{}'`1.:+\\") for _ in range(rnd.randint(0, 14))) for _ in range(4000)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, clean_of string")
+    got = {r.id: r.c for r in markup.with_clean(df, "clean_of", "c").collect()}
+    assert [(texts[i], c) for i, c in got.items() if c != markup.clean(texts[i])] == [] and len(got) == len(texts)
+
+
 def test_tokens_by_tree_equal_direct_encoding():
     path = tokenize.default_path()
     t = tokenize.load(path)
