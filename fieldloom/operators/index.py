@@ -40,6 +40,13 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_type").agg(F.greatest(F.count("*"), F.lit(1)).alias("doc_count"))
 
 
+def statistics(docs: DataFrame, fields: DataFrame) -> DataFrame:
+    """(kind, name, rows, total): for each field how many documents have it and its lengths' sum, empty ones counting as 1; for each type its documents. Sums, so those of batches add up."""
+    lengths = fields.groupBy(F.col("field").alias("name")).agg(F.count("*").alias("rows"), F.sum(F.greatest(F.col("field_length"), F.lit(1)).cast("bigint")).alias("total"))
+    kinds = docs.groupBy(F.col("doc_type").alias("name")).agg(F.count("*").alias("rows"), F.lit(0).cast("bigint").alias("total"))
+    return lengths.select(F.lit("field").alias("kind"), "name", "rows", "total").unionByName(kinds.select(F.lit("doc_type").alias("kind"), "name", "rows", "total"))
+
+
 def document_frequencies(posts: DataFrame) -> DataFrame:
     """(doc_type, term, df): documents that hold the term in any field. Exact."""
     return posts.groupBy("doc_type", "term", "doc_id").agg(F.lit(1).alias("x")).groupBy("doc_type", "term").agg(F.count("*").alias("df"))

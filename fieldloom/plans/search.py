@@ -13,7 +13,7 @@ from fieldloom.functions import text as T
 from fieldloom.functions import vector as V
 from fieldloom.operators import index, retrieval
 from fieldloom.plans import sqltext as S
-from fieldloom.session import materialize, spread, table
+from fieldloom.session import spread, table
 
 EVERY = 50
 TOP = 20
@@ -23,9 +23,8 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "index_documents")
 
 
-def fields_of(x: DataFrame) -> DataFrame:
-    """Fields with their tokens, tokenised once and written, since scoring reads them for lengths, counts and matches."""
-    return materialize(index.document_fields(spread(x, x.sparkSession)))
+def index_for(x: DataFrame, asked: DataFrame) -> retrieval.Index:
+    return retrieval.asked_index(x, retrieval.query_terms(asked))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -65,16 +64,14 @@ def query_term_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    x = docs(spark, d)
-    return retrieval.bm25(x, fields_of(x), retrieval.query_terms(questions(spark, d)), ["work_order"], TOP)
+    return retrieval.bm25(index_for(docs(spark, d), questions(spark, d)), ["work_order"], TOP)
 
 
 def bm25_matched_terms(spark: SparkSession, d: str) -> DataFrame:
     """What matched in each question's best order, a row per term and field."""
-    x = docs(spark, d)
-    fields, terms = fields_of(x), retrieval.query_terms(questions(spark, d))
-    best = retrieval.bm25(x, fields, terms, ["work_order"], 1)
-    m = retrieval.matched_terms(retrieval.matches(x, fields, terms, ["work_order"]).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"))
+    ix = index_for(docs(spark, d), questions(spark, d))
+    best = retrieval.bm25(ix, ["work_order"], 1)
+    m = retrieval.matched_terms(retrieval.matches(ix, {"work_order": ""}).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"))
     return m.select("query_id", "doc_id", F.explode("matched_terms").alias("m")).select("query_id", "doc_id", "m.term", "m.field", "m.tf", "m.field_weight")
 
 
@@ -108,7 +105,7 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Questions are titles of notes; their vectors are those of the embeddings table with the same id."""
     n = _notes(spark, d)
     asked = table(spark, d, "documents").where((F.col("doc_id") % EVERY == 0) & F.col("title").isNotNull()).select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
-    bm = retrieval.bm25(n, fields_of(n), retrieval.query_terms(asked), ["note"], TOP)
+    bm = retrieval.bm25(index_for(n, asked), ["note"], TOP)
     vec = retrieval.vector_search(_vectors(spark, d).join(asked.select("query_id"), "query_id", "left_semi"), _embeddings(spark, d), 10)
     return retrieval.fuse(bm, vec, TOP, 0.75).select("query_id", "doc_id", "score", "rank")
 
@@ -126,12 +123,12 @@ _HYBRID = f"""WITH {S.field_ctes(_NOTES)}, {S.question_ctes(f"SELECT doc_id AS q
 def relative_threshold(spark: SparkSession, d: str) -> DataFrame:
     """The order channel as it is returned: 50 candidates, cut at 45 % of the best score, at most 10."""
     x = docs(spark, d)
-    return retrieval.search_channel("work_orders", x, fields_of(x), questions(spark, d), RetrievalConfig()).drop("mode")
+    return retrieval.search_channel("work_orders", x, index_for(x, questions(spark, d)), RetrievalConfig()).drop("mode")
 
 
 def typical_fault_search(spark: SparkSession, d: str) -> DataFrame:
     x = docs(spark, d)
-    return retrieval.search_channel("manual_typical_faults", x, fields_of(x), questions(spark, d), RetrievalConfig()).drop("mode")
+    return retrieval.search_channel("manual_typical_faults", x, index_for(x, questions(spark, d)), RetrievalConfig()).drop("mode")
 
 
 def _code_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -151,8 +148,8 @@ def fault_code_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fault_code_search(spark: SparkSession, d: str) -> DataFrame:
-    x = docs(spark, d)
-    return retrieval.search_fault_codes(x, fields_of(x), _code_questions(spark, d), RetrievalConfig())
+    x, q = docs(spark, d), _code_questions(spark, d)
+    return retrieval.search_fault_codes(x, index_for(x, q), q, RetrievalConfig())
 
 
 def rank_ordered_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -161,21 +158,49 @@ def rank_ordered_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_flatten(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight pieces of evidence of each question, of all four channels, with titles."""
     found = retrieval.retrieve(docs(spark, d), table(spark, d, "part_evidence"), questions(spark, d))
-    return retrieval.flatten({c: found[c] for c in retrieval.CHANNELS}, 8).select("query_id", "channel", "doc_id", "score", "channel_rank", "rank")
+    titled = {c: found[c].join(docs(spark, d).select("doc_id", "title"), "doc_id") for c in retrieval.CHANNELS} | {"part_evidence": retrieval.part_hits(found["part_evidence"])}
+    return retrieval.flatten(titled, 8).select("query_id", "channel", "doc_id", "title", "score", "channel_rank", "rank")
 
 
 def evidence_package(spark: SparkSession, d: str) -> DataFrame:
-    """The package of each question: its bounded hits by channel as arrays."""
-    q = questions(spark, d)
-    found = retrieval.retrieve(docs(spark, d), table(spark, d, "part_evidence"), q)
-    return retrieval.package(found, q, RetrievalConfig(), 8).select("query_id", "mode", "top_k", *(F.size(F.coalesce(c, F.array())).alias(c) for c in retrieval.CHANNELS))
+    """The package of each question: its hits by channel, its linked orders, how the parts came, and warnings."""
+    q, events, config = questions(spark, d), [], RetrievalConfig()
+    found = retrieval.retrieve(docs(spark, d), table(spark, d, "part_evidence"), q, config, events=events)
+    got = retrieval.package(found, q, config, 8, events)
+    ids = [F.array_join(F.transform(c, lambda x: x["doc_id"]), ",").alias(c) for c in (*retrieval.CHANNELS, "part_evidence")]
+    return got.select("query_id", "mode", F.array_join(F.map_values("channel_modes"), ",").alias("channel_modes"), "top_k", *ids, F.array_join("linked_work_order_ids", ",").alias("linked"), F.col("part_candidate_source.work_order_hit_count").alias("order_hits"), F.size("warnings").alias("warnings"))
+
+
+def threshold_events(spark: SparkSession, d: str) -> DataFrame:
+    """What the order channel's cut did to each question's candidates."""
+    x, held = docs(spark, d), {}
+    found = retrieval.search(x, index_for(x, questions(spark, d)), RetrievalConfig(), ("work_orders",), candidates=held)
+    e = retrieval.threshold_events(held["work_orders"], found["work_orders"], "work_orders", RetrievalConfig(), 8)
+    return e.select("query_id", "candidate_count", "returned_count", "candidate_top_k", "top_score", "score_threshold", "max_hits")
+
+
+def part_channel(spark: SparkSession, d: str) -> DataFrame:
+    """Linked parts as hits: rank, title and preview."""
+    found = retrieval.retrieve(docs(spark, d), table(spark, d, "part_evidence"), questions(spark, d), channels=("work_orders",))
+    return retrieval.part_hits(found["part_evidence"]).select("query_id", "doc_id", "rank", "title", "body_preview", F.col("metadata")["part_code"].alias("part_code"))
 
 
 _BASE = f"WITH {S.field_ctes()}, {S.question_ctes(_ASKED)}, {S.bm25_ctes('work_order')}"
 _CUT = f"{_BASE}, {S.top_ctes('bm', 'bmt', 50)}, {S.cut_ctes('bmt', 'cut', 0.45, 10)}"
 _TYPICAL = f"{S.bm25_ctes('manual_typical_fault', 'tf')}, {S.top_ctes('tf', 'tft', 30)}, {S.cut_ctes('tft', 'tcut', 0.55, 5)}"
 
+#: of the hit orders the parts, as hits; typical faults and codes that questions name in their text
+_PARTS = f"""h AS (SELECT query_id, metadata['work_order_id'] AS work_order_id, min(rank) AS order_rank FROM cut JOIN index_documents USING (doc_id) WHERE metadata['work_order_id'] <> '' GROUP BY ALL),
+ ph0 AS (SELECT query_id, order_rank, e.*, coalesce(nullif({S.CLEAN('part_name')}, ''), nullif({S.CLEAN('part_number_name')}, ''), '') AS pname, row_number() OVER (PARTITION BY query_id ORDER BY order_rank, part_id) AS rank FROM h JOIN part_evidence e USING (work_order_id)),
+ ph AS (SELECT query_id, rank, 'part:' || work_order_id || ':' || rank AS doc_id, coalesce(nullif(pname, ''), nullif({S.CLEAN('part_code')}, ''), '备件证据 ' || rank) AS title, {S.CLEAN('part_code')} AS part_code,
+   concat_ws(chr(10), CASE WHEN pname <> '' THEN '新件备件名称: ' || pname END, CASE WHEN {S.CLEAN('part_code')} <> '' THEN '新件物料编码: ' || {S.CLEAN('part_code')} END, CASE WHEN {S.CLEAN('quantity')} <> '' THEN '新件数量: ' || {S.CLEAN('quantity')} END,
+     '来源工单: ' || {S.CLEAN('work_order_id')}, CASE WHEN {S.CLEAN('reported_issue')} <> '' THEN '用户报修内容: ' || {S.CLEAN('reported_issue')} END) AS body_preview FROM ph0)"""
+_HIT_CODES = f"""qc AS (SELECT DISTINCT query_id, upper(unnest(regexp_extract_all(query, '{S.CODE}', 1))) AS code FROM asked),
+ xh AS (SELECT query_id, doc_id, 100.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM (SELECT DISTINCT query_id, doc_id FROM qc JOIN index_documents ON doc_type = 'manual_fault_code' AND upper(fields['fault_code']) = code)),
+ {S.bm25_ctes('manual_fault_code', 'fc')}, {S.top_ctes('fc', 'fct', 8)}, fcodes AS (SELECT * FROM xh WHERE rank <= 8 UNION ALL SELECT * FROM fct WHERE query_id IN (SELECT query_id FROM qc) AND query_id NOT IN (SELECT query_id FROM xh))"""
+
 
 def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit("p").alias("provider"), F.when(F.col("label") < 5, "a").otherwise("b").alias("model"))
@@ -230,9 +255,9 @@ def exploded_parts(spark: SparkSession, d: str) -> DataFrame:
     return index.part_rows(table(spark, d, "work_orders"), "record_id").select("record_id", F.col("part_ord").cast("int").alias("part_ord"), "part_name", "part_code", "quantity")
 
 
-QUERIES = {f.__name__: f for f in (token_stats, inverted_index, index_statistics, document_type_counts, term_frequencies, query_term_dedup, bm25_topk, bm25_matched_terms, vector_topk, hybrid_fusion, relative_threshold, typical_fault_search, fault_code_exact, fault_code_search, rank_ordered_parts, evidence_flatten, evidence_package, missing_embeddings, resume_filter, upsert_orders, last_documents, duplicate_ids, numbered_documents, source_manifest, work_order_documents, exploded_parts)}
+QUERIES = {f.__name__: f for f in (token_stats, inverted_index, index_statistics, document_type_counts, term_frequencies, query_term_dedup, bm25_topk, bm25_matched_terms, vector_topk, hybrid_fusion, relative_threshold, typical_fault_search, fault_code_exact, fault_code_search, rank_ordered_parts, part_channel, evidence_flatten, evidence_package, threshold_events, missing_embeddings, resume_filter, upsert_orders, last_documents, duplicate_ids, numbered_documents, source_manifest, work_order_documents, exploded_parts)}
 
-_CLEAN = lambda c: f"coalesce(regexp_replace({c}, '^[\\s\\x{{A0}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}]+|[\\s\\x{{A0}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}]+$', '', 'g'), '')"
+_CLEAN = S.CLEAN
 _FIRST = lambda *cs: "coalesce(" + ", ".join(f"nullif({_CLEAN(c)}, '')" for c in cs) + ")"
 _WO_ID = f"coalesce(nullif({_CLEAN('work_order_id')}, ''), substr(sha1(source_path), 1, 12))"
 
@@ -260,8 +285,18 @@ SQL = {
         SELECT query_id, doc_id, score, rank FROM exact UNION ALL SELECT * FROM fct WHERE query_id NOT IN (SELECT query_id FROM exact) AND query_id IN (SELECT query_id FROM asked WHERE query <> 'code none')""",
     "rank_ordered_parts": f"""{_CUT}, h AS (SELECT query_id, metadata['work_order_id'] AS work_order_id, min(rank) AS order_rank FROM cut JOIN index_documents USING (doc_id) WHERE metadata['work_order_id'] <> '' GROUP BY ALL)
         SELECT query_id, work_order_id, order_rank, part_id, part_code, quantity FROM h JOIN part_evidence USING (work_order_id)""",
-    "evidence_flatten": f"""{_CUT}, {_TYPICAL}, u AS (SELECT query_id, 'work_orders' AS channel, 0 AS priority, doc_id, score, rank AS channel_rank FROM cut UNION ALL SELECT query_id, 'manual_typical_faults', 3, doc_id, score, rank FROM tcut)
-        SELECT query_id, channel, doc_id, score, channel_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority, channel_rank, doc_id) AS rank FROM u) WHERE rank <= 8""",
+    "evidence_flatten": f"""{_CUT}, {_TYPICAL}, {_PARTS}, {_HIT_CODES}, u AS (SELECT query_id, 'work_orders' AS channel, 0 AS priority, doc_id, score, rank AS channel_rank FROM cut UNION ALL SELECT query_id, 'part_evidence', 1, doc_id, NULL, rank FROM ph
+          UNION ALL SELECT query_id, 'manual_fault_codes', 2, doc_id, score, rank FROM fcodes UNION ALL SELECT query_id, 'manual_typical_faults', 3, doc_id, score, rank FROM tcut)
+        SELECT query_id, channel, doc_id, coalesce(ph_title, d_title) AS title, score, channel_rank, rank FROM (SELECT u.*, p.title AS ph_title, d.title AS d_title, row_number() OVER (PARTITION BY u.query_id ORDER BY priority, channel_rank, u.doc_id) AS rank
+          FROM u LEFT JOIN ph p ON u.channel = 'part_evidence' AND p.query_id = u.query_id AND p.rank = u.channel_rank LEFT JOIN index_documents d ON u.channel <> 'part_evidence' AND d.doc_id = u.doc_id) WHERE rank <= 8""",
+    "evidence_package": f"""{_CUT}, {_TYPICAL}, {_PARTS}, {_HIT_CODES}
+        SELECT q.query_id, 'bm25' AS mode, 'bm25,bm25,bm25' AS channel_modes, 8 AS top_k, coalesce((SELECT string_agg(doc_id, ',' ORDER BY rank) FROM cut c WHERE c.query_id = q.query_id), '') AS work_orders, coalesce((SELECT string_agg(doc_id, ',' ORDER BY rank) FROM tcut c WHERE c.query_id = q.query_id), '') AS manual_typical_faults,
+          coalesce((SELECT string_agg(doc_id, ',' ORDER BY rank) FROM fcodes c WHERE c.query_id = q.query_id), '') AS manual_fault_codes, coalesce((SELECT string_agg(doc_id, ',' ORDER BY rank) FROM ph c WHERE c.query_id = q.query_id), '') AS part_evidence,
+          coalesce((SELECT string_agg(work_order_id, ',' ORDER BY order_rank, work_order_id) FROM (SELECT DISTINCT query_id, order_rank, h.work_order_id FROM h JOIN part_evidence USING (work_order_id)) c WHERE c.query_id = q.query_id), '') AS linked,
+          (SELECT count(*) FROM cut c WHERE c.query_id = q.query_id)::INT AS order_hits, 0 AS warnings FROM asked q""",
+    "threshold_events": f"""{_CUT}, r AS (SELECT query_id, count(*) AS returned_count FROM cut GROUP BY 1)
+        SELECT query_id, candidate_count, coalesce(returned_count, 0) AS returned_count, 50 AS candidate_top_k, round(top, 6) AS top_score, round(top * 0.45, 6) AS score_threshold, 10 AS max_hits FROM (SELECT query_id, count(*) AS candidate_count, max(score) AS top FROM bmt GROUP BY 1) LEFT JOIN r USING (query_id)""",
+    "part_channel": f"{_CUT}, {_PARTS} SELECT query_id, doc_id, rank, title, body_preview, part_code FROM ph",
     "missing_embeddings": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 5)",
     "resume_filter": """WITH s AS (SELECT *, sha256(coalesce(raw_text, '')) AS content_hash FROM work_orders)
         SELECT source_path, content_hash FROM s WHERE NOT (record_id % 3 <> 0 AND record_id % 5 <> 0 AND record_id % 7 <> 0)""",

@@ -6,6 +6,14 @@ from fieldloom.config import BM25_B, BM25_K1, FIELD_WEIGHTS
 
 WEIGHT = "CASE field " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FIELD_WEIGHTS.items()) + " ELSE 1.0 END"
 
+#: a fault code in running text. The engine has no look-around, so what stands before and behind is part of the match
+CODE = "(?:^|[^\\p{L}\\p{N}_])([A-Za-z][0-9]{3,}[A-Za-z0-9_-]*)(?:$|[^\\p{L}\\p{N}_-])"
+
+
+def CLEAN(c: str) -> str:  # noqa: N802
+    """A trimmed text, empty for null."""
+    return f"coalesce(regexp_replace({c}, '^[\\s\\x{{A0}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}]+|[\\s\\x{{A0}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}]+$', '', 'g'), '')"
+
 
 def token_ctes(source: str, keys: str, text: str, name: str = "tok") -> str:
     """CTEs ending in {name}({keys}, term): all token occurrences of a relation's text column."""

@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 from fieldloom.config import RetrievalConfig, load, redact
 from fieldloom.operators import embed, index, retrieval
 
+def ix(d, q):
+    return retrieval.asked_index(d, retrieval.query_terms(q))
+
+
 DOCS = "doc_id string, doc_type string, fields map<string,string>, metadata map<string,string>"
 
 
@@ -15,7 +19,7 @@ def docs(spark, rows):
 def test_bm25_by_hand(spark):
     d = docs(spark, [("a", "work_order", {"solution": "pump pump leak", "remarks": ""}), ("b", "work_order", {"solution": "pump"}), ("c", "manual", {"solution": "x y z w"})])
     q = spark.createDataFrame([(1, "Pump pump")], "query_id long, query string")
-    got = {r.doc_id: r.score for r in retrieval.bm25(d, index.document_fields(d), retrieval.query_terms(q), ["work_order"], 5).collect()}
+    got = {r.doc_id: r.score for r in retrieval.bm25(ix(d, q), ["work_order"], 5).collect()}
     avg = (3 + 1 + 4) / 3  # lengths over every type
     idf = math.log(1 + 0.5 / 2.5)
     part = lambda tf, n: 2.0 * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avg))
@@ -30,7 +34,7 @@ def test_empty_fields_count_as_one(spark):
 def test_ties_are_ordered_by_id(spark):
     d = docs(spark, [(x, "work_order", {"solution": "pump"}) for x in "dbca"])
     q = spark.createDataFrame([(1, "pump")], "query_id long, query string")
-    assert [r.doc_id for r in retrieval.bm25(d, index.document_fields(d), retrieval.query_terms(q), ["work_order"], 3).orderBy("rank").collect()] == ["a", "b", "c"]
+    assert [r.doc_id for r in retrieval.bm25(ix(d, q), ["work_order"], 3).orderBy("rank").collect()] == ["a", "b", "c"]
 
 
 def test_relative_cut(spark):
@@ -66,7 +70,7 @@ def test_vector_blocks_give_the_same(spark, monkeypatch):
 def test_fault_codes_exact_then_bm25(spark):
     d = docs(spark, [("m1", "manual_fault_code", {"fault_code": "E00131", "chunk_text": "pump"}), ("m2", "manual_fault_code", {"fault_code": "E00999", "chunk_text": "about E00555"})])
     q = spark.createDataFrame([(1, "error e00131"), (2, "error E00555"), (3, "pump")], "query_id long, query string")
-    got = {(r.query_id, r.doc_id): r.score for r in retrieval.search_fault_codes(d, index.document_fields(d), q, RetrievalConfig()).collect()}
+    got = {(r.query_id, r.doc_id): r.score for r in retrieval.search_fault_codes(d, ix(d, q), q, RetrievalConfig()).collect()}
     assert got[(1, "m1")] == 100.0 and (2, "m2") in got and not any(k[0] == 3 for k in got)
 
 
@@ -126,8 +130,42 @@ def test_hybrid_search_end_to_end(spark):
     e = embed.embed(spark.createDataFrame([("a", "x"), ("b", "pump"), ("m", "pump")], "doc_id string, text string"), embed.hash_provider(), "hash", "hash-64")
     v = spark.createDataFrame([(1, embed.hash_provider()(["pump"])[0])], "query_id long, vector array<double>")
     cfg = RetrievalConfig(embeddings=True, hybrid_alpha=0.5, work_order_min_relative_score=0.0)
-    got = retrieval.search(d, index.document_fields(d), q, cfg, embeddings=e, vectors=v)
+    got = retrieval.search(d, ix(d, q), cfg, embeddings=e, vectors=v)
     rows = {r.doc_id: r.score for r in got["work_orders"].collect()}
     assert set(rows) == {"a", "b"} and rows["b"] == 0.5 and {r.mode for r in got["work_orders"].collect()} == {"hybrid"}
-    plain = retrieval.search(d, index.document_fields(d), q, cfg)["work_orders"].collect()
-    assert [(r.doc_id, r.mode) for r in plain] == [("a", "bm25")]
+    events = []
+    plain = retrieval.search(d, ix(d, q), cfg, events=events)["work_orders"].collect()
+    assert [(r.doc_id, r.mode) for r in plain] == [("a", "bm25")] and {e["status"] for e in events} == {"fallback"}
+
+    def broken():
+        raise RuntimeError("provider is away")
+
+    events = []
+    down = retrieval.search(d, ix(d, q), cfg, ("work_orders",), embeddings=e, vectors=broken, events=events)["work_orders"].collect()
+    assert [(r.doc_id, r.mode) for r in down] == [("a", "bm25")] and events == [{"channel": "work_orders", "stage": "query_embedding", "status": "fallback", "reason": "RuntimeError: provider is away"}]
+    live = retrieval.search(d, ix(d, q), cfg, ("work_orders",), embeddings=e, vectors=lambda: v)["work_orders"].collect()
+    assert {r.doc_id: r.score for r in live} == rows
+
+
+def test_package_and_evidence_have_parts(spark):
+    d = spark.createDataFrame([("wo:1", "work_order", {"reported_issue": "pump leak"}, {"work_order_id": "W1"}), ("m", "manual_fault_code", {"fault_code": "E00131"}, {})], DOCS)
+    p = spark.createDataFrame([(2, "W1", "seal", "C2", "2", "leak"), (1, "W1", None, "C1", None, None), (3, "W9", "x", "y", "1", "")], "part_id long, work_order_id string, part_name string, part_code string, quantity string, reported_issue string")
+    q = spark.createDataFrame([(1, "pump E00131"), (2, "")], "query_id long, query string")
+    events = [{"channel": "work_orders", "stage": "vector_search", "status": "fallback", "reason": "no vectors"}]
+    found = retrieval.retrieve(d, p, q)
+    rows = {r.query_id: r for r in retrieval.package(found, q, RetrievalConfig(), 8, events, debug=True).collect()}
+    assert [x.doc_id for x in rows[1].part_evidence] == ["part:W1:1", "part:W1:2"] and [x.title for x in rows[1].part_evidence] == ["C1", "seal"]
+    assert rows[1].linked_work_order_ids == ["W1"] and rows[1].warnings == ["work_orders:vector_search:no vectors"] and rows[1].debug.query_terms == ["pump", "e00131"]
+    assert rows[1].part_candidate_source.work_order_hit_count == 1 and rows[2].part_evidence == [] and rows[1].channel_modes["work_orders"] == "bm25"
+    flat = retrieval.flatten({"part_evidence": retrieval.part_hits(found["part_evidence"])} | {c: found[c] for c in retrieval.CHANNELS}, 3).orderBy("rank").collect()
+    assert [(r.channel, r.doc_id) for r in flat] == [("work_orders", "wo:1"), ("part_evidence", "part:W1:1"), ("part_evidence", "part:W1:2")]
+    assert "新件数量: 2" in flat[2].body_preview and flat[2].metadata["part_code"] == "C2" and flat[0].title is None
+
+
+def test_stored_statistics_score_the_same(spark):
+    d = docs(spark, [("a", "work_order", {"solution": "pump pump leak", "remarks": ""}), ("b", "work_order", {"solution": "pump"}), ("c", "manual", {"solution": "x y z w"})])
+    q = spark.createDataFrame([(1, "Pump leak")], "query_id long, query string")
+    f = index.document_fields(d)
+    stored = retrieval.stored_index(index.postings(f), index.statistics(d, f), retrieval.query_terms(q))
+    rows = lambda i: sorted(map(tuple, retrieval.bm25(i, ["work_order"], 5).collect()))
+    assert rows(stored) == rows(ix(d, q)) != []
