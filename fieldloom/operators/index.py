@@ -19,16 +19,16 @@ def field_weight(name: Column) -> Column:
     return F.coalesce(m[name], F.lit(1.0))
 
 
-def document_fields(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_type, field, tokens, field_weight, field_length): a row for each field, empty ones too, since they count in the averages."""
-    rows = docs.select("doc_id", "doc_type", F.explode("fields").alias("field", "field_text"))
-    return rows.select("doc_id", "doc_type", "field", T.tokens(F.col("field_text")).alias("tokens")).select("*", field_weight(F.col("field")).alias("field_weight"), F.size("tokens").alias("field_length"))
+def document_fields(docs: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, doc_id, doc_type, field, tokens, field_weight, field_length): a row for each field, empty ones too, since they count in the averages."""
+    rows = docs.select(*keep, "doc_id", "doc_type", F.explode("fields").alias("field", "field_text"))
+    return rows.select(*keep, "doc_id", "doc_type", "field", T.tokens(F.col("field_text")).alias("tokens")).select("*", field_weight(F.col("field")).alias("field_weight"), F.size("tokens").alias("field_length"))
 
 
-def postings(fields: DataFrame) -> DataFrame:
-    """(term, doc_id, doc_type, field, tf, field_weight, field_length). Tokens are combined in each task before they are shuffled."""
-    one = fields.select("doc_id", "doc_type", "field", "field_weight", "field_length", F.explode("tokens").alias("term"))
-    return one.groupBy("term", "doc_id", "doc_type", "field", "field_weight", "field_length").agg(F.count("*").alias("tf"))
+def postings(fields: DataFrame, *keep: str) -> DataFrame:
+    """(term, doc_id, doc_type, field, tf, field_weight, field_length, *keep). Tokens are combined in each task before they are shuffled."""
+    one = fields.select(*keep, "doc_id", "doc_type", "field", "field_weight", "field_length", F.explode("tokens").alias("term"))
+    return one.groupBy("term", "doc_id", "doc_type", "field", "field_weight", "field_length", *keep).agg(F.count("*").alias("tf"))
 
 
 def average_lengths(fields: DataFrame) -> DataFrame:
@@ -40,11 +40,11 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_type").agg(F.greatest(F.count("*"), F.lit(1)).alias("doc_count"))
 
 
-def statistics(docs: DataFrame, fields: DataFrame) -> DataFrame:
-    """(kind, name, rows, total): for each field how many documents have it and its lengths' sum, empty ones counting as 1; for each type its documents. Sums, so those of batches add up."""
-    lengths = fields.groupBy(F.col("field").alias("name")).agg(F.count("*").alias("rows"), F.sum(F.greatest(F.col("field_length"), F.lit(1)).cast("bigint")).alias("total"))
-    kinds = docs.groupBy(F.col("doc_type").alias("name")).agg(F.count("*").alias("rows"), F.lit(0).cast("bigint").alias("total"))
-    return lengths.select(F.lit("field").alias("kind"), "name", "rows", "total").unionByName(kinds.select(F.lit("doc_type").alias("kind"), "name", "rows", "total"))
+def statistics(docs: DataFrame, fields: DataFrame, *keep: str) -> DataFrame:
+    """(kind, name, rows, total, *keep): for each field how many documents have it and its lengths' sum, empty ones counting as 1; for each type its documents. Sums, so those of batches add up."""
+    lengths = fields.groupBy(F.col("field").alias("name"), *keep).agg(F.count("*").alias("rows"), F.sum(F.greatest(F.col("field_length"), F.lit(1)).cast("bigint")).alias("total"))
+    kinds = docs.groupBy(F.col("doc_type").alias("name"), *keep).agg(F.count("*").alias("rows"), F.lit(0).cast("bigint").alias("total"))
+    return lengths.select(F.lit("field").alias("kind"), "name", "rows", "total", *keep).unionByName(kinds.select(F.lit("doc_type").alias("kind"), "name", "rows", "total", *keep))
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:

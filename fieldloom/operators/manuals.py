@@ -59,15 +59,15 @@ def chunks(x: Column, most: int = CHUNK) -> Column:
     return F.when(whole == "", none).when(F.length(whole) <= most, F.array(whole)).otherwise(packed)
 
 
-def manual_documents(pages: DataFrame, path: str, markdown: str, most: int = CHUNK) -> DataFrame:
+def manual_documents(pages: DataFrame, path: str, markdown: str, most: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
     """A document for each chunk of each page; pages without text have none."""
-    meta = pages.select(F.col(path).alias("relative_path"), *path_metadata(F.col(path)), chunks(F.col(markdown), most).alias("_c"))
+    meta = pages.select(*keep, F.col(path).alias("relative_path"), *path_metadata(F.col(path)), chunks(F.col(markdown), most).alias("_c"))
     c = meta.select("*", F.posexplode("_c").alias("chunk_index", "chunk_text")).withColumn("chunk_count", F.size("_c"))
     path_text = F.replace(F.col("relative_path"), F.lit("/"), F.lit(" "))
     named = [("fault_title", F.col("fault_title")), ("fault_code", F.col("fault_code")), ("fault_description", F.col("fault_description")), ("file_name", F.col("file_name")), ("path_text", path_text), ("chunk_text", F.col("chunk_text"))]
     facts = [(k, F.col(k).cast("string")) for k in ("machine_type", "manual_section", "system_dir", "chunk_index", "chunk_count")]
     as_map = lambda pairs: F.map_from_arrays(F.array(*(F.lit(k) for k, _ in pairs)), F.array(*(T.clean_string(v) for _, v in pairs)))
     return c.select(
-        F.concat_ws(":", F.lit("manual"), T.short_hash(F.col("relative_path")), F.col("chunk_index").cast("string")).alias("doc_id"), "doc_type", F.col("fault_title").alias("title"),
+        *keep, F.concat_ws(":", F.lit("manual"), T.short_hash(F.col("relative_path")), F.col("chunk_index").cast("string")).alias("doc_id"), "doc_type", F.col("fault_title").alias("title"),
         T.join_text(*(v for _, v in named)).alias("text"), as_map(named).alias("fields"), as_map(facts).alias("metadata"), F.col("relative_path").alias("source_path"),
     )

@@ -74,9 +74,9 @@ def _decode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([decode(None if x is None else bytes(x)) for x in s], columns=["text", "encoding"])
 
 
-def with_text(files: DataFrame, content: str = "content") -> DataFrame:
-    """Add text, encoding, lossy and content_hash; drop the bytes."""
-    d = files.withColumn("content_hash", F.sha2(F.col(content), 256)).withColumn("_d", _decode(content))
+def with_text(files: DataFrame, content: str = "content", keep_hash: bool = False) -> DataFrame:
+    """Add text, encoding, lossy and content_hash, unless the rows have theirs; drop the bytes."""
+    d = (files if keep_hash else files.withColumn("content_hash", F.sha2(F.col(content), 256))).withColumn("_d", _decode(content))
     return d.select(*(c for c in d.columns if c not in (content, "_d")), "_d.text", "_d.encoding", (F.col("_d.encoding") == LOSSY).alias("lossy"))
 
 

@@ -17,7 +17,7 @@ def stream_files(spark: SparkSession, root: str, glob: str = "*.[tT][xX][tT]", p
 
 
 def ingest_stream(spark: SparkSession, root: str, store: Store, checkpoint: str, kind: str = "work_order") -> StreamingQuery:
-    """Ingest what is there and stop. A batch that is delivered again finds its sources completed with the same content and changes nothing."""
+    """Ingest what is there and stop. A micro-batch writes what its own files hold; one that is delivered again finds its sources completed with the same content and changes nothing."""
 
     def batch(df: DataFrame, _: int) -> None:
         ingest(store, kind, df, root=root)
