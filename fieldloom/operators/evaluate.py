@@ -6,6 +6,9 @@ row's arrays and not a join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,30 @@ def greedy_match(expected: Column, retrieved: Column) -> Column:
     return F.aggregate(expected, F.array().cast("array<int>"), lambda used, want: F.concat(used, F.array(F.coalesce(F.get(free(want, used), F.lit(0)), F.lit(-1)))))
 
 
+def run_rows(rows: list[dict], answer: Callable[[str], dict], threads: int = 8) -> list[dict]:
+    """Ask one question a row, at most RUN_MOST at a time, and keep the rows in order. For evaluations that call models; plain searches take all
+    questions in one plan.
+
+    answer returns what judge() reads: retrieved, retrieved_orders, answer, mode. A blank question is left out without a call; a row whose
+    call fails carries the reason, and the others go on.
+    """
+
+    def one(row: dict) -> dict:
+        if not str(row.get("question") or "").strip():
+            return row | {"error": None}
+        try:
+            return row | answer(str(row["question"]).strip()) | {"error": None}
+        except Exception as e:  # noqa: BLE001  the row carries the reason
+            return row | {"error": f"{type(e).__name__}: {e}"}
+
+    with ThreadPoolExecutor(max(1, min(threads, RUN_MOST, len(rows) or 1))) as pool:
+        return list(pool.map(one, rows))
+
+
+#: fixed value: questions that are asked at the same time, at most
+RUN_MOST = 16
+
+
 def judge(rows: DataFrame) -> DataFrame:
     """Verdicts of rows with: expected, retrieved (arrays of parts), expected_order, retrieved_orders (array), answer, mode, error, question.
 

@@ -138,6 +138,7 @@ class Pipeline:
     deterministic_answer: bool = False
     threads: int = FILTER_THREADS
     rerank: Callable[[str, list[dict]], list[float]] | None = None
+    top_n: int | None = None
     trace: list[dict] = field(default_factory=list)
 
     def _done(self, stage: str, state: dict, **more: object) -> None:
@@ -162,10 +163,13 @@ class Pipeline:
         """package: work_orders, manuals, fault_codes and parts, each a list of hits in rank order."""
         state: dict = {"query": query, "package": package}
         orders, manuals, parts = (items(package.get(k)) for k in ("work_orders", "manuals", "parts"))
+        how = {}
         if self.rerank and orders:
-            scored = sorted(zip(self.rerank(query, orders), range(len(orders)), strict=True), key=lambda x: (-x[0], x[1]))
-            orders = [orders[i] for _, i in scored]
-        self._done("retrieval", state, hits=len(orders))
+            try:
+                orders = reordered(orders, self.rerank(query, orders), self.top_n)
+            except Exception as e:  # noqa: BLE001  a reranker may fail in any way; the found order stands
+                how = {"rerank": "fallback", "reason": f"{type(e).__name__}: {e}"[:300]}
+        self._done("retrieval", state, hits=len(orders), **how)
         stage = "work_order_filter"
         try:
             with ThreadPoolExecutor(max(1, min(self.threads, FILTER_THREADS_MOST, len(orders) or 1))) as pool:
@@ -174,8 +178,8 @@ class Pipeline:
             state["rejected_orders"] = [j for j in judged if not j["related"]]
             self._done(stage, state, accepted=len(state["orders"]), status="skipped" if not orders else "ok")
             stage = "manual_filter"
-            state["manuals"] = self._manuals(query, manuals)
-            self._done(stage, state, accepted=len(state["manuals"]))
+            state["manuals"], state["rejected_manuals"], how = self._manuals(query, manuals)
+            self._done(stage, state, accepted=len(state["manuals"]), rejected=len(state["rejected_manuals"]), **how)
             stage = "fact_extraction"
             state["facts"] = self._facts(query, state, items(package.get("fault_codes")), parts)
             self._done(stage, state)
@@ -193,15 +197,23 @@ class Pipeline:
             raise Paused(stage, str(e), state) from e
         return state | {"trace": self.trace}
 
-    def _manuals(self, query: str, manuals: list[dict]) -> list[dict]:
+    def _manuals(self, query: str, manuals: list[dict]) -> tuple[list[dict], list[dict], dict]:
+        """Manuals that the model takes, those it doesn't with the reason, and how it went. A reply that can't be read takes all of them, as medium."""
         if self.client is None or not manuals:
-            return manuals
+            return manuals, [], {"status": "skipped"}
         try:
             got = parse_object(self.client("manual_filter", {"query": query, "titles": [{"doc_id": m.get("doc_id"), "title": m.get("title")} for m in manuals]}))
-        except ValueError:
-            return []
-        chosen = {clean(x.get("doc_id")): x for x in items(got.get("selected"))}
-        return [m | {"reason": clean(chosen[d].get("reason"))} for m in manuals if (d := clean(m.get("doc_id"))) in chosen and level(chosen[d].get("relevance_level", "medium")) in ("high", "medium")]
+        except ValueError as e:
+            kept = [m | {"level": "medium", "reason": "the filter failed; kept as found"} for m in manuals]
+            return kept, [], {"status": "fallback", "reason": "manual_filter_failed", "error": f"{type(e).__name__}: {e}"}
+        verdicts: dict[str, tuple[str, str]] = {}
+        for x in items(got.get("selected")):
+            grade = level(x.get("relevance_level") or "medium")
+            verdicts.setdefault(clean(x.get("doc_id")), (grade if grade in ("high", "medium") else "unrelated", clean(x.get("reason")) or ("taken by the model" if grade in ("high", "medium") else "not graded as relevant")))
+        for x in items(got.get("rejected")):
+            verdicts.setdefault(clean(x.get("doc_id")), ("unrelated", clean(x.get("reason")) or "rejected by the model"))
+        judged = [m | dict(zip(("level", "reason"), verdicts.get(clean(m.get("doc_id")), ("unrelated", "not named by the model")), strict=True)) for m in manuals]
+        return [m for m in judged if m["level"] != "unrelated"], [m for m in judged if m["level"] == "unrelated"], {"status": "ok"}
 
     def _facts(self, query: str, state: dict, codes: list[dict], parts: list[dict]) -> dict:
         ids = {j["work_order_id"] for j in state["orders"]}
@@ -231,6 +243,33 @@ class Pipeline:
         return {"query": query, "facts": state["facts"], "evidence": evidence}
 
 
+def reordered(hits: list[dict], scores: list[float], top_n: int | None = None) -> list[dict]:
+    """Hits by the reranker's scores from the best down, equal ones as they were, at most top_n."""
+    order = sorted(range(len(hits)), key=lambda i: (-scores[i], i))[: top_n if top_n is None else max(top_n, 0)]
+    return [hits[i] | {"rerank_score": scores[i]} for i in order]
+
+
+def rerank_text(hit: dict, chars: int) -> str:
+    """What a reranker reads of a hit: its named facts, a line each, then the preview."""
+    named = (f"{k}: {v}" for k in ("channel", "title", "doc_type", "work_order_id", "source_path") if (v := clean(hit.get(k))))
+    return "\n".join([*named, *filter(None, [clean(hit.get("body_preview"))])])[:chars]
+
+
+#: fixed values: headings and sentences of the answer that is made of found evidence alone
+PLAIN_ANSWER = {"question": "问题：", "causes": "可能故障原因：", "no_causes": "- 未从手册证据中召回明确故障标题。", "advice": "处理建议：", "parts": "备件候选：", "no_parts": "- 未召回明确备件候选。", "note": "注意：以上备件来自历史工单或手册证据，未经过当前设备适配校验。"}
+
+
+def render_plain(query: str, evidence: list[dict], parts: list[dict]) -> str:
+    """An answer from flattened evidence alone: titles of five manuals, previews of the first five hits, every linked part."""
+    a = PLAIN_ANSWER
+    titles = [clean(e.get("title")) for e in evidence if e.get("doc_type") == "manual_typical_fault" and e.get("title")][:5]
+    seen = [f"- 参考 {e.get('doc_id')}: {clean(e.get('body_preview'))[:180]}" for e in evidence[:5] if e.get("body_preview")]
+    of = lambda p, none, *ks: next((v for k in ks if (v := clean(p.get(k)))), none)
+    listed = [f"- 名称={of(p, '未知', 'part_name', 'part_number_name')}, 编码={of(p, '未提供', 'part_code')}, 数量={of(p, '未提供', 'quantity')}, 来源工单={of(p, '未知', 'work_order_id')}" for p in parts]
+    blocks = [[a["question"] + query], [a["causes"], *([f"- {t}" for t in titles] or [a["no_causes"]])], [a["advice"], *seen], [a["parts"], *(listed or [a["no_parts"]])], [a["note"]]]
+    return "\n\n".join("\n".join(b) for b in blocks)
+
+
 def render(state: dict) -> str:
     """An answer from facts alone, in fixed sections."""
     f = state["facts"]

@@ -6,6 +6,7 @@ import json
 import re
 import shlex
 import subprocess
+import urllib.request
 from collections.abc import Callable, Mapping
 from datetime import UTC, datetime
 from pathlib import Path
@@ -59,6 +60,37 @@ def rerank_scores(reply: Mapping, n: int) -> list[float]:
     return out
 
 
+def rerank_results(reply: Mapping, n: int, top_n: int | None = None) -> list[tuple[int, float]]:
+    """(index, score) of the documents that a reply names, from the best down, equal scores by index, at most top_n."""
+    inner = reply.get("output") if isinstance(reply.get("output"), Mapping) else reply
+    rows = next((inner[k] for k in ("results", "data", "rankings") if isinstance(inner.get(k), list)), [])
+    named = {r["index"] for r in rows if isinstance(r, Mapping) and isinstance(r.get("index"), int) and 0 <= r["index"] < n}
+    scores = rerank_scores(reply, n)
+    return sorted(((i, scores[i]) for i in named), key=lambda x: (-x[1], x[0]))[:top_n]
+
+
+def http_provider(url: str, model: str, key: str | None = None, batch: int = 10, timeout: float = 180, post: Callable[[str, dict, dict, float], Mapping] | None = None) -> Provider:
+    """Embeddings from an address that takes {"model", "input"} and returns {"data": [{"index", "embedding"}]}. post can be replaced, as in tests."""
+    send = post or _post
+
+    def run(texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for at in range(0, len(texts), batch):
+            some = texts[at : at + batch]
+            reply = send(url, {"Authorization": f"Bearer {key}"} if key else {}, {"model": model, "input": some}, timeout)
+            rows = sorted((r for r in reply.get("data") or [] if isinstance(r, Mapping)), key=lambda r: r.get("index", 0))
+            out += checked([r.get("embedding") or [] for r in rows], len(some))
+        return checked(out, len(texts))
+
+    return run
+
+
+def _post(url: str, headers: dict, body: dict, timeout: float) -> Mapping:
+    request = urllib.request.Request(url, json.dumps(body).encode(), headers | {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as reply:
+        return json.loads(reply.read())
+
+
 def reranker(call: Callable[[str, list[str]], Mapping], text: Callable[[dict], str], chars: int = 2000) -> Callable[[str, list[dict]], list[float]]:
     """A pipeline's rerank hook from a client that takes a question and texts."""
     return lambda query, hits: rerank_scores(call(query, [text(h)[:chars] for h in hits]), len(hits))

@@ -106,6 +106,16 @@ def compact(task_rows: DataFrame, text: str, limit: int = 500) -> DataFrame:
     return task_rows.withColumn(text, T.clip(F.col(text), limit))
 
 
+def resolved(result: dict, retry: int, attempted: list[dict], failed_again: list[dict]) -> dict:
+    """A task's result after a retry: its failures without those that were attempted and didn't fail again, and the retry in its history."""
+    key = lambda x: (x.get("stage"), x.get("input"))
+    solved = set(map(key, attempted)) - set(map(key, failed_again))
+    report = dict(result.get("report") or {})
+    left = [f for f in report.get("failed_items") or [] if key(f) not in solved]
+    entry = {"retry_task_id": retry, "attempted_count": len(attempted), "resolved_count": len(solved), "unresolved_count": len(left), "updated_at": datetime.now(UTC).isoformat(timespec="seconds")}
+    return result | {"report": report | {"failed_items": left, "retry_history": [*(report.get("retry_history") or []), entry]}}
+
+
 class TaskLog:
     """Events of tasks in a store. Every call appends one row; nothing is ever updated in place."""
 
@@ -137,10 +147,39 @@ class TaskLog:
     def current(self) -> DataFrame:
         return latest(self.store.read("tasks"))
 
+    def task(self, task: int) -> dict:
+        """One task's current row; an unknown one is an error."""
+        rows = self.current().where(F.col("id") == task).collect()
+        if not rows:
+            raise KeyError(task)
+        return rows[0].asDict()
+
+    def result(self, task: int) -> dict:
+        return json.loads(self.task(task)["result"] or "{}")
+
+    def request(self, task: int) -> dict:
+        return json.loads(self.task(task)["request"] or "{}")
+
     def pause_requested(self, task: int) -> bool:
         return not self.current().where((F.col("id") == task) & (F.col("status") == "pause_requested")).isEmpty()
 
 
+def iso_time(at: Column) -> Column:
+    """A time as ISO 8601 text to the second; the texts sort as the times do."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def ingest_summary(counts: Column) -> Column:
+    """One line for a run's counters (a map)."""
+    of = lambda k: F.coalesce(counts[k], F.lit(0)).cast("string")
+    return F.concat_ws(" · ", *(F.concat(F.lit(f"{k} "), of(k)) for k in ("work_orders", "part_records", "manual_files", "manual_chunks", "total_documents", "failed_items")))
+
+
+def search_summary(package: DataFrame, channels: tuple[str, ...]) -> DataFrame:
+    """(query_id, summary) of packages: the mode and how many hits each channel has."""
+    return package.select("query_id", F.concat_ws(" · ", F.col("mode"), *(F.concat(F.lit(f"{c} "), F.size(c).cast("string")) for c in channels)).alias("summary"))
+
+
 def summary(report: dict) -> str:
     """One line of counters."""
     return " · ".join(f"{k} {v}" for k, v in report.items())

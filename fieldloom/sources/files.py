@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.config import FIELD_WEIGHTS
 from fieldloom.functions import text as X
 
 #: fixed values: file suffixes by kind
@@ -29,15 +32,33 @@ def scan(spark: SparkSession, kind: str, root: str | None = None, paths: list[st
 
     limit (of files in path order) applies to a folder only. Neither root nor paths is an error.
     """
-    if not root and not paths:
-        raise ValueError("give a folder or paths")
     pattern = rf"(?i)({'|'.join(re.escape(s) for s in SUFFIXES[kind])})\z"
-    wanted = [p for p in dict.fromkeys(paths or []) if re.search(pattern, p)]
+    folder, wanted = checked_inputs(spark, root, paths)
+    wanted = [p for p in wanted if p.lower().endswith(SUFFIXES[kind])]
     if paths and not wanted:
         raise ValueError(f"none of the paths is a {kind} file")
     reader = spark.read.format("binaryFile")
-    df = reader.load(wanted) if paths else reader.option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(pattern))
-    return df.orderBy("path").limit(limit) if limit is not None and not paths else df
+    df = reader.load(wanted) if wanted else reader.option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(pattern))
+    return df.orderBy("path").limit(limit) if limit is not None and not wanted else df
+
+
+def checked_inputs(spark: SparkSession, root: str | None, paths: list[str] | None) -> tuple[str | None, list[str]]:
+    """The folder and the paths, resolved; a path that is named twice, in whatever spelling, counts once. What is missing, or of the wrong kind, is an error."""
+    if not root and not paths:
+        raise ValueError("give a folder or paths")
+    conf, of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def resolve(path: str, folder: bool) -> str:
+        where = of(os.path.realpath(path) if "://" not in path and not path.startswith("file:") else path)
+        fs = where.getFileSystem(conf)
+        if not fs.exists(where):
+            raise FileNotFoundError(f"{path} doesn't exist")
+        if fs.getFileStatus(where).isDirectory() != folder:
+            raise NotADirectoryError(f"{path} isn't a folder") if folder else IsADirectoryError(f"{path} is a folder")
+        return fs.makeQualified(where).toString()
+
+    own = list(dict.fromkeys(resolve(p, False) for p in paths or []))
+    return (resolve(root, True) if root and not own else root), own
 
 
 def candidates(raw: bytes, encodings: tuple[str, ...] = ENCODINGS) -> list[str]:
@@ -87,10 +108,14 @@ def relative_path(path: Column, root: str) -> Column:
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
     """(rows, failures): objects with their file and line; blank lines are skipped, bad ones and non-objects set apart.
 
-    Line numbers count within a file, whose lines keep their order by being read as one text.
+    Files are read in splits. Lines are numbered within their split, in which they lie in order, and moved by the lines of the
+    splits before it in the file, so no file is one row or one task.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("_i", "line"))
-    lines = lines.withColumn("line_number", F.col("_i") + 1).drop("_i").where(X.py_strip(F.col("line")) != "")
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    splits = raw.groupBy("file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each split
+    lines = raw.join(splits.withColumn("_before", before), ["file", "_start"])
+    lines = lines.select("file", "line", (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int").alias("line_number")).where(X.py_strip(F.col("line")) != "")
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     parsed = lines.withColumn("_r", F.from_json("line", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("_r").isNull() | F.col("_r._bad").isNotNull() | ~F.col("line").rlike(r"(?s)\A\s*\{")
@@ -107,6 +132,25 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    """One pretty-printed document, for reports and manifests; its folder is made where it is missing."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray((json.dumps(value, ensure_ascii=False, indent=2, default=str) + "\n").encode()))
+    out.close()
+
+
+def index_manifest(created_at: str, inputs: dict, outputs: dict, counts: dict) -> dict:
+    """What an index was made of and how, for those who search it."""
+    tokenizer = {"ascii_code_tokens": True, "chinese_ngrams": [2, 3], "whole_chinese_sequence_max_chars": X.WHOLE_RUN}
+    return {"schema_version": 1, "created_at": created_at, "inputs": inputs, "outputs": outputs, "counts": counts, "field_weights": dict(FIELD_WEIGHTS), "tokenizer": tokenizer}
+
+
+def write_inverted_index(blocks: DataFrame, path: str) -> None:
+    """An inverted index (index.inverted_index) as JSON lines, a line for each block of a term, sorted by term within each file."""
+    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").json(path)
+
+
 def part_table(parsed: DataFrame) -> DataFrame:
     """A row for each part with its order's values; the fixed columns of the export."""
     rows = parsed.select("work_order_id", "reported_issue", "solution", "remarks", "source_path", F.array_join("parse_warnings", "|").alias("parse_warnings"), F.explode("parts").alias("_p"))

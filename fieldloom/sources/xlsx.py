@@ -76,6 +76,10 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def read(self, partition) -> Iterator[tuple]:  # noqa: ANN001
-        with open(self.path.removeprefix("file://").removeprefix("file:"), "rb") as f:
+        from pyarrow import fs
+
+        bare = self.path.removeprefix("file://").removeprefix("file:")
+        system, name = fs.FileSystem.from_uri(bare) if "://" in bare else (fs.LocalFileSystem(), bare)
+        with system.open_input_stream(name) as f:
             head, rows = normal_table(sheet_rows(f.read()))
         yield from ((i, r) for i, r in enumerate([head, *rows] if head else [], 1))

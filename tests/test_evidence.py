@@ -43,6 +43,42 @@ def test_pipeline():
     assert "W2" not in json.dumps(out["context"]) and len(out["manuals"]) == 1
 
 
+def test_manual_verdicts_are_kept():
+    manuals = [{"doc_id": x, "title": x} for x in "abcd"]
+    reply = '{"selected": [{"doc_id": "a"}, {"doc_id": "b", "relevance_level": "low"}, {"doc_id": "?"}], "rejected": [{"doc_id": "c", "reason": "other machine"}]}'
+    pick = lambda text: evidence.Pipeline(lambda task, payload: text if task == "manual_filter" else client(task, payload)).run("q", PACKAGE | {"manuals": manuals})
+    out = pick(reply)
+    assert [(m["doc_id"], m["level"]) for m in out["manuals"]] == [("a", "medium")]
+    assert [(m["doc_id"], m["reason"]) for m in out["rejected_manuals"]] == [("b", "not graded as relevant"), ("c", "other machine"), ("d", "not named by the model")]
+    bad = pick("I can't say")
+    assert [m["doc_id"] for m in bad["manuals"]] == list("abcd") and bad["rejected_manuals"] == [] and {m["level"] for m in bad["manuals"]} == {"medium"}
+    assert next(t for t in bad["trace"] if t["stage"] == "manual_filter")["status"] == "fallback"
+
+
+def test_reranking():
+    hits = [{"work_order_id": x} for x in "abc"]
+    assert [h["work_order_id"] for h in evidence.reordered(hits, [0.1, 0.9, 0.9], 2)] == ["b", "c"]
+
+    def broken(query, found):
+        raise RuntimeError("away")
+
+    out = evidence.Pipeline(deterministic_answer=True, rerank=broken).run("q", PACKAGE)
+    assert len(out["orders"]) == 2 and out["trace"][0]["rerank"] == "fallback"
+    assert evidence.rerank_text({"title": "t", "body_preview": "b", "channel": None}, 9) == "title: t\n"[:9] + ""
+    text = evidence.render_plain("q", [{"doc_type": "manual_typical_fault", "title": "T", "doc_id": "m", "body_preview": "p"}], [])
+    assert "- T" in text and "- 参考 m: p" in text and "未召回" in text
+
+
+def test_rows_are_run_apart():
+    def answer(question):
+        if question == "bad":
+            raise RuntimeError("boom")
+        return {"retrieved": [question]}
+
+    got = evaluate.run_rows([{"question": " a "}, {"question": "bad"}, {"question": " "}, {"question": None}], answer, threads=99)
+    assert [g.get("error") for g in got] == [None, "RuntimeError: boom", None, None] and got[0]["retrieved"] == ["a"] and "retrieved" not in got[2]
+
+
 def test_pipeline_pauses():
     def broken(task, payload):
         raise evidence.ProviderError("down")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import html, manuals, workorder
@@ -129,10 +130,22 @@ def test_scan_and_tables(spark, tmp_path):
     (tmp_path / "t.csv").write_bytes(b"\xef\xbb\xbfq,\n,,\n\"a\nb\",1,2\nc\n")
     rows = files.read_csv_table(spark, str(tmp_path / "t.csv")).collect()
     assert [tuple(r) for r in rows] == [(2, "a\nb", "1"), (3, "c", "")] and rows[0].__fields__ == ["row_number", "q", "列2"]
+    same = files.scan(spark, "work_order", None, [str(tmp_path / "a.txt"), str(tmp_path / "d" / ".." / "a.txt"), str(tmp_path / "d" / "b.TXT")])
+    assert same.count() == 2
+    for root, paths, error in ((str(tmp_path / "no"), None, FileNotFoundError), (str(tmp_path / "a.txt"), None, NotADirectoryError), (None, [str(tmp_path / "d")], IsADirectoryError), (None, [str(tmp_path / "c.md")], ValueError), (None, None, ValueError)):
+        with pytest.raises(error):
+            files.scan(spark, "work_order", root, paths)
+    many = tmp_path / "many"
+    many.mkdir()
+    (many / "x.jsonl").write_text("".join('{"a": %d}\n' % i + "\n" * (i % 2) for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    rows, bad = files.read_json_lines(spark, str(many), "a int")
+    assert bad.count() == 0 and sorted((r.line_number, r.a) for r in rows.collect()) == [(1 + i + i // 2, i) for i in range(3000)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "r.jsonl").write_text('{"a": 1}\n\n[1]\n{"a":\n{"a": 2}\n')
     ok, bad = files.read_json_lines(spark, str(tmp_path / "r.jsonl"), "a int")
-    assert [(r.line_number, r.a) for r in ok.collect()] == [(1, 1), (5, 2)]
-    assert [(r.line_number, r.error) for r in bad.collect()] == [(3, "not_an_object"), (4, "invalid_json")]
+    assert sorted((r.line_number, r.a) for r in ok.collect()) == [(1, 1), (5, 2)]
+    assert sorted((r.line_number, r.error) for r in bad.collect()) == [(3, "not_an_object"), (4, "invalid_json")]
 
 
 def workbook(path, cells):
