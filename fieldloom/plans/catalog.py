@@ -39,3 +39,8 @@ from fieldloom.plans import upkeep  # noqa: E402
 
 QUERIES |= upkeep.QUERIES
 SQL |= upkeep.SQL
+
+from fieldloom.plans import records  # noqa: E402
+
+QUERIES |= records.QUERIES
+SQL |= records.SQL

@@ -197,7 +197,7 @@ _PARTS = f"""h AS (SELECT query_id, metadata['work_order_id'] AS work_order_id,
  ph AS (SELECT query_id, rank, 'part:' || work_order_id || ':' || rank AS doc_id, coalesce(nullif(pname, ''), nullif({S.CLEAN('part_code')}, ''), '备件证据 ' || rank) AS title, {S.CLEAN('part_code')} AS part_code,
    concat_ws(chr(10), CASE WHEN pname <> '' THEN '新件备件名称: ' || pname END, CASE WHEN {S.CLEAN('part_code')} <> '' THEN '新件物料编码: ' || {S.CLEAN('part_code')} END, CASE WHEN {S.CLEAN('quantity')} <> '' THEN '新件数量: ' || {S.CLEAN('quantity')} END,
      '来源工单: ' || {S.CLEAN('work_order_id')}, CASE WHEN {S.CLEAN('reported_issue')} <> '' THEN '用户报修内容: ' || {S.CLEAN('reported_issue')} END) AS body_preview FROM ph0)"""
-_HIT_CODES = f"""qc AS (SELECT DISTINCT query_id, upper(unnest(regexp_extract_all(query, '{S.CODE}', 1))) AS code FROM asked),
+_HIT_CODES = f"""qc AS ({S.codes_of('query_id', 'query', 'asked')}),
  xh AS (SELECT query_id, doc_id, 100.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM (SELECT DISTINCT query_id, doc_id FROM qc JOIN index_documents ON doc_type = 'manual_fault_code' AND upper(fields['fault_code']) = code)),
  {S.bm25_ctes('manual_fault_code', 'fc')}, {S.top_ctes('fc', 'fct', 8)}, fcodes AS (SELECT * FROM xh WHERE rank <= 8 UNION ALL SELECT * FROM fct WHERE query_id IN (SELECT query_id FROM qc) AND query_id NOT IN (SELECT query_id FROM xh))"""
 

@@ -6,8 +6,13 @@ from fieldloom.config import BM25_B, BM25_K1, FIELD_WEIGHTS
 
 WEIGHT = "CASE field " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FIELD_WEIGHTS.items()) + " ELSE 1.0 END"
 
-#: a fault code in running text. The engine has no look-around, so what stands before and behind is part of the match
-CODE = "(?:^|[^\\p{L}\\p{N}_])([A-Za-z][0-9]{3,}[A-Za-z0-9_-]*)(?:$|[^\\p{L}\\p{N}_-])"
+def codes_of(keys: str, text: str, source: str) -> str:
+    """Query (keys, code): the fault codes named in a relation's texts, each once. The engine has no look-around: separators are doubled, so that
+    one match doesn't take the next one's, and a code that a letter follows is cut back to before its last hyphen."""
+    sep = f"regexp_replace({text}, '([^\\p{{L}}\\p{{N}}_-])', '\\1\\1', 'g')"
+    found = f"SELECT {keys}, unnest(regexp_extract_all({sep}, '(?:^|[^\\p{{L}}\\p{{N}}_])([A-Za-z][0-9]{{3,}}[A-Za-z0-9_-]*(?:[^A-Za-z0-9_-]|$))', 1)) AS t FROM {source}"
+    cut = "CASE WHEN regexp_matches(right(t, 1), '[\\p{L}\\p{N}_]') AND NOT regexp_matches(right(t, 1), '[A-Za-z0-9_]') THEN regexp_extract(t, '^(.*)-[^-]*$', 1) ELSE regexp_replace(t, '[^A-Za-z0-9_-]$', '') END"
+    return f"SELECT DISTINCT {keys}, upper(code) AS code FROM (SELECT {keys}, {cut} AS code FROM ({found})) WHERE regexp_matches(code, '^[A-Za-z][0-9]{{3,}}')"
 
 
 def CLEAN(c: str) -> str:  # noqa: N802

@@ -106,10 +106,10 @@ def accepted_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Coded parts of the orders before those of the catalog."""
+    """Coded parts of the orders before those of the catalog; position tells which row won."""
     p = _parts(spark, d).withColumnRenamed("part_id", "position")
-    c = table(spark, d, "part_catalog").select(F.lit(1).alias("query_id"), F.xxhash64("part_code").alias("position"), "part_name", "part_code", "part_number")
-    return evidence.merge_coded(p, c).select("work_order_id", "name", "code", "quantity")
+    c = table(spark, d, "part_catalog").select(F.lit(1).alias("query_id"), F.conv(F.substring(F.md5("part_code"), 1, 8), 16, 10).cast("bigint").alias("position"), "part_name", "part_code", "part_number")
+    return evidence.merge_coded(p, c).select("work_order_id", "name", "code", "quantity", "position")
 
 
 # --- evaluation ----------------------------------------------------------------------------------
@@ -123,16 +123,29 @@ def _expected(parts: DataFrame) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    """Each question expects all coded parts of its own order, and that order."""
+    """Each question expects all coded parts of its own order, and that order.
+
+    Of the parts that come with the found orders only those of an expected code can be matched, so only these are gathered, at most as
+    many of each (name, code, quantity) as are expected; the others are counted.
+    """
     q = search.questions(spark, d)
     found = retrieval.retrieve(search.docs(spark, d), table(spark, d, "part_evidence"), q, channels=("work_orders",))
-    got = found["part_evidence"].groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("order_rank", "part_id", F.struct(F.coalesce("part_name", "part_number_name", F.lit("")).alias("name"), F.coalesce("part_code", F.lit("")).alias("code"), F.coalesce("quantity", F.lit("")).alias("quantity")).alias("p")))).alias("x")).select("query_id", F.transform("x", lambda s: s["p"]).alias("retrieved"))
+    own = _expected(table(spark, d, "part_evidence").join(q.select(F.col("query_id").alias("record_id")), "record_id", "left_semi"))
+    key = lambda c: T.normalize_eval_text(F.coalesce(c, F.lit("")))
+    codes = own.select("query_id", F.explode("expected").alias("e")).select("query_id", key(F.col("e.code")).alias("k")).groupBy("query_id", "k").agg(F.count("*").alias("most"))
+    text = lambda *cs: F.coalesce(*(F.col(c) for c in cs), F.lit(""))
+    got = found["part_evidence"].groupBy("query_id", text("part_name", "part_number_name").alias("name"), text("part_code").alias("code"), text("quantity").alias("quantity")).agg(F.min(F.struct("order_rank", "part_id")).alias("at"), F.count("*").alias("n"))
+    total = got.groupBy("query_id").agg(F.sum("n").alias("total"))
+    able = got.withColumn("k", key(F.col("code"))).join(codes, ["query_id", "k"]).withColumn("p", F.explode(F.array_repeat(F.struct("name", "code", "quantity"), F.least("n", "most").cast("int"))))
+    lists = able.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "p"))), lambda x: x["p"]).alias("retrieved"))
     ids = search.docs(spark, d).where("doc_type = 'work_order'").select("doc_id", F.col("metadata")["work_order_id"].alias("wid"))
     orders = found["work_orders"].join(ids, "doc_id").groupBy("query_id").agg(F.collect_set("wid").alias("retrieved_orders"))
-    own = _expected(table(spark, d, "part_evidence"))
     wo = table(spark, d, "work_orders").select(F.col("record_id").alias("query_id"), F.col("work_order_id").alias("expected_order"))
-    rows = q.join(wo, "query_id").join(own, "query_id", "left").join(got, "query_id", "left").join(orders, "query_id", "left")
-    return evaluate.judge(rows.select("*", F.col("query").alias("question"), F.lit("search").alias("mode"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error"), F.col("query_id").cast("int").alias("row_number")))
+    rows = q.join(wo, "query_id")
+    for side in (own, lists, orders, total):
+        rows = rows.join(side, "query_id", "left")
+    j = evaluate.judge(rows.select("*", F.col("query").alias("question"), F.lit("search").alias("mode"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error"), F.col("query_id").cast("int").alias("row_number")))
+    return j.withColumn("unexpected", (F.coalesce("total", F.lit(0)) - F.size(F.filter("picked", lambda i: i >= 0))).cast("int"))
 
 
 def batch_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -217,22 +230,38 @@ _TASKS = """ev AS (SELECT user_id * 1000 + dayofyear(ts) AS id, event_id AS seq,
 _DONE = lambda s, w: f"CASE WHEN {s} = 'completed' THEN '{w}' ELSE {s} END"
 _FAIL = "f AS (SELECT part_id, CASE WHEN part_id % 2 = 0 THEN 'work_order' ELSE 'manual' END AS stage, source_path || '#' || part_id AS input FROM part_evidence)"
 
+#: expected parts are taken one after the other, each by the first part found that is free and matches
+_BATCH = f"""{_CUT.replace('WITH ', 'WITH RECURSIVE ', 1)}, h AS (SELECT query_id, metadata['work_order_id'] AS w, min(rank) AS r FROM cut JOIN index_documents USING (doc_id) WHERE metadata['work_order_id'] <> '' GROUP BY ALL),
+ ex AS (SELECT record_id AS query_id, list({{'n': coalesce(part_name, ''), 'c': part_code}} ORDER BY part_ord) AS e FROM part_evidence WHERE part_code IS NOT NULL AND record_id % 50 = 0 GROUP BY 1),
+ re AS (SELECT query_id, list({{'n': coalesce(part_name, part_number_name, ''), 'c': coalesce(part_code, '')}} ORDER BY r, part_id) AS g FROM h JOIN part_evidence p ON p.work_order_id = h.w GROUP BY 1),
+ st AS (SELECT q.query_id, coalesce(e, []) AS e, coalesce(g, []) AS g, 0 AS i, []::BIGINT[] AS used FROM asked q LEFT JOIN ex USING (query_id) LEFT JOIN re USING (query_id)
+   UNION ALL SELECT query_id, e, g, i + 1, list_append(used, coalesce(list_filter(range(1, len(g) + 1), lambda j: NOT list_contains(used, j) AND {_EVAL('g[j].c')} = {_EVAL('e[i + 1].c')}
+     AND (trim(e[i + 1].n) = '' OR {_EVAL('e[i + 1].n')} <> '' AND {_EVAL('g[j].n')} <> '' AND (contains({_EVAL('g[j].n')}, {_EVAL('e[i + 1].n')}) OR contains({_EVAL('e[i + 1].n')}, {_EVAL('g[j].n')}))))[1], -1)) FROM st WHERE i < len(e)),
+ fin AS (SELECT query_id, len(list_filter(used, lambda x: x = -1))::INT AS missing, (len(g) - len(list_filter(used, lambda x: x > 0)))::INT AS unexpected FROM st WHERE i = len(e)),
+ judged AS (SELECT f.query_id, missing, unexpected, coalesce(o.work_order_id, '') <> '' AS work_order_required, coalesce(o.work_order_id, '') = '' OR EXISTS (SELECT 1 FROM cut c JOIN index_documents d ON d.doc_id = c.doc_id WHERE c.query_id = f.query_id AND lower(d.metadata['work_order_id']) = lower(o.work_order_id)) AS work_order_recall
+   FROM fin f JOIN work_orders o ON o.record_id = f.query_id)"""
+
 SQL = {
     "text_preview": f"""WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{_BLANK}+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents)
         SELECT doc_id, CASE WHEN length(t) <= 420 THEN t ELSE rtrim(substr(t, 1, 417)) || '...' END AS preview FROM p""",
     "part_cells": f"""SELECT part_id, (row_number() OVER (PARTITION BY part_id ORDER BY i) - 1)::INT AS pos, v AS value FROM (SELECT part_id, i, {_CLEAN('v')} AS v FROM (SELECT part_id, unnest(regexp_split_to_array(part_number_name, '[，,]')) AS v, unnest(range(1, len(regexp_split_to_array(part_number_name, '[，,]')) + 1)) AS i
         FROM part_evidence WHERE part_number_name IS NOT NULL)) WHERE v <> ''""",
-    "parse_report": """SELECT count(*) AS files, count_if(raw_text IS NOT NULL) AS parsed, count_if(raw_text IS NULL) AS failed, coalesce(sum(coalesce(len(parts), 0)), 0)::BIGINT AS parts, count_if(len(parts) > 0) AS with_parts, count_if(len(parse_warnings) > 0) AS with_warnings FROM work_orders""",
+    "parse_report": """SELECT count(*) AS files, count_if(raw_text IS NOT NULL) AS parsed, count_if(raw_text IS NULL) AS failed, coalesce(sum(coalesce(len(parts), 0)), 0)::BIGINT AS parts, count_if(len(parts) > 0) AS with_parts, count_if(len(parse_warnings) > 0) AS with_warnings, count_if(list_contains(parse_warnings, 'missing_reported_issue')) AS missing_reported_issue, count_if(list_contains(parse_warnings, 'missing_solution')) AS missing_solution FROM work_orders""",
     "export_parts": """SELECT work_order_id, reported_issue, solution, remarks, p.part_number_name, p.part_number, p.part_name, p.part_code, p.quantity, p.raw_text, source_path, array_to_string(parse_warnings, '|') AS parse_warnings
         FROM (SELECT *, unnest(parts) AS p FROM work_orders)""",
     "table_counts_in_pages": "SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '<\\s*table\\b')) AS tables FROM index_documents",
     "part_dedup": f"WITH {_PART} SELECT work_order_id, name, code, quantity, min(part_id) AS part_id FROM ap WHERE work_order_id <> '' OR name <> '' OR code <> '' OR quantity <> '' GROUP BY ALL",
     "coded_parts": f"WITH {_PART} SELECT work_order_id, name, code, quantity, min(part_id) AS part_id FROM ap WHERE code <> '' GROUP BY ALL",
-    "merged_parts": f"WITH {_PART} SELECT DISTINCT work_order_id, name, code, quantity FROM ap WHERE code <> '' UNION SELECT '', part_name, part_code, '' FROM part_catalog",
+    "merged_parts": f"""WITH {_PART}, b AS (SELECT work_order_id, name, code, quantity, 0 AS side, part_id AS position FROM ap WHERE code <> '' UNION ALL SELECT '', part_name, part_code, '', 1, ('0x' || substr(md5(part_code), 1, 8))::BIGINT FROM part_catalog)
+        SELECT work_order_id, name, code, quantity, arg_min(position, (side, position)) AS position FROM b GROUP BY ALL""",
+    "fault_codes_in_text": f"WITH c AS ({S.codes_of('doc_id', 'text', 'documents')}) SELECT code, count(*) AS documents FROM c GROUP BY code",
     "accepted_orders": "SELECT label_id, CASE WHEN label = 'abusive' THEN 'high' ELSE 'medium' END AS level FROM review_labels WHERE label IN ('abusive', 'none') AND doc_id % 3 <> 0",
     "batch_order_recall": f"""{_CUT}, h AS (SELECT query_id, metadata['work_order_id'] AS w FROM cut JOIN index_documents USING (doc_id))
         SELECT q.query_id, coalesce(o.work_order_id, '') <> '' AS work_order_required, coalesce(o.work_order_id, '') = '' OR count_if(lower(h.w) = lower(o.work_order_id)) > 0 AS work_order_recall
         FROM asked q JOIN work_orders o ON o.record_id = q.query_id LEFT JOIN h ON h.query_id = q.query_id GROUP BY q.query_id, o.work_order_id""",
+    "batch_recall": f"{_BATCH} SELECT query_id, CASE WHEN missing = 0 AND work_order_recall THEN 'pass' WHEN missing = 0 AND work_order_required THEN 'warn' ELSE 'fail' END AS status, missing = 0 AS part_recall, work_order_recall, missing, unexpected FROM judged",
+    "batch_metrics": f"""{_BATCH} SELECT 'part_recall' AS metric, count_if(missing = 0) AS pass, count_if(missing > 0) AS fail, 0 AS error, 0 AS skipped FROM judged UNION ALL SELECT 'work_order_recall', count_if(work_order_recall), count_if(NOT work_order_recall), 0, 0 FROM judged
+        UNION ALL SELECT 'answer_part_recall', 0, 0, 0, count(*) FROM judged""",
     "part_matching": f"""SELECT part_id, (coalesce({_CLEAN('e.part_name')}, '') = '' OR {_EVAL('e.part_name')} <> '' AND {_EVAL('c.part_name')} <> '' AND (contains({_EVAL('c.part_name')}, {_EVAL('e.part_name')}) OR contains({_EVAL('e.part_name')}, {_EVAL('c.part_name')})))
         AND (coalesce({_CLEAN('e.quantity')}, '') = '' OR CASE WHEN regexp_full_match({_CLEAN('e.quantity')}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast({_CLEAN('e.quantity')} AS DOUBLE) = 1 ELSE {_EVAL('e.quantity')} = '1' END) AS matches
         FROM part_evidence e JOIN part_catalog c ON c.part_code = e.part_code""",
