@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import weakref
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -338,31 +338,37 @@ def fit(docs: DataFrame, row_id: str, text: str, labels: DataFrame, lm: np.ndarr
                 found = sorted(set().union(*(expressions(s) for s in _SENTENCE.split(restore(t, lm)))))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([p] * len(found), pa.float64())], names=["x", "p"])
 
-    counts = rows.select("_text", "_p").mapInArrow(run, "x string, p double").groupBy("x").agg((F.sum("p") + 0.5).alias("bad"), (F.sum(1 - F.col("p")) + 0.5).alias("good"))
+    counts = spread(rows, docs.sparkSession).mapInArrow(run, "x string, p double").groupBy("x").agg((F.sum("p") + 0.5).alias("bad"), (F.sum(1 - F.col("p")) + 0.5).alias("good"))
     odds = F.ln(F.col("bad") / (total[0] + 1)) - F.ln(F.col("good") / (total[1] + 1)) - 1.645 * F.sqrt(1 / F.col("bad") + 1 / F.col("good"))
     best = counts.select("x", odds.alias("w")).where("w > 0").orderBy(F.desc("w"), "x").limit(EXPRESSIONS)
     return {r.x: r.w for r in best.collect()}
 
 
+def _automaton(words: Iterable[tuple[str, object]]):  # noqa: ANN202
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for x, value in words:
+        out.add_word(x, value)
+    out.make_automaton()
+    return out
+
+
 class Evidence:
-    """The fitted expressions as one automaton over a text."""
+    """The fitted expressions as automata over a text: one without their outer blanks, which tells the sentences that can hold any, and one for these."""
 
     def __init__(self, weights: dict[str, float]) -> None:
-        import ahocorasick
-
-        self.find = ahocorasick.Automaton() if weights else None
-        for x, w in weights.items():
-            self.find.add_word(x, (x, w))
-        if weights:
-            self.find.make_automaton()
+        self.any = _automaton((x.strip(), True) for x in weights) if weights else None
+        self.find = _automaton((x, (x, w)) for x, w in weights.items()) if weights else None
 
     def of(self, restored: str) -> float:
         """The strongest sentence: the sum of its six strongest different expressions."""
-        if self.find is None:
-            return 0.0
         best = 0.0
+        if self.any is None or next(self.any.iter(restored), None) is None:
+            return best
         for s in _SENTENCE.split(restored):
-            if found := {x: w for _, (x, w) in self.find.iter(_plain_sentence(s))}:
+            if next(self.any.iter(s), None) is not None:
+                found = {x: w for _, (x, w) in self.find.iter(_plain_sentence(s))}
                 best = max(best, sum(sorted(found.values())[-6:]))
         return best
 
