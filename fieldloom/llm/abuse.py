@@ -291,8 +291,8 @@ def score(text: str | None, lm: np.ndarray) -> dict[str, float]:
 
 #: reviewed rows that are fitted on, at most; expressions that are kept of them, at most; share of verdicts that are wrong
 LABELS, EXPRESSIONS, WRONG = 20_000, 20_000, 0.05
-#: log-odds (their lower 95 % bounds) that a sentence's six strongest expressions must sum to, to count by themselves
-ENOUGH = 4.0
+#: log-odds (their lower 95 % bounds) that a sentence's strongest expressions must sum to, to count by themselves; how many are summed
+ENOUGH, STRONGEST = 5.0, 4
 _SENTENCE = re.compile(r"[。！？!?\n;；]+|\.(?=\s|\Z)")
 _NOT_WORD = re.compile(r"[\W\d_]+")
 _HAN_APART = re.compile(f"({_HANZI}+)")
@@ -362,15 +362,22 @@ class Evidence:
         self.find = _automaton((x, (x, w)) for x, w in weights.items()) if weights else None
 
     def of(self, restored: str) -> float:
-        """The strongest sentence: the sum of its six strongest different expressions."""
-        best = 0.0
+        """The strongest sentence: the sum of its strongest expressions that share no character, since those that do say the same thing."""
         if self.any is None or next(self.any.iter(restored), None) is None:
-            return best
-        for s in _SENTENCE.split(restored):
-            if next(self.any.iter(s), None) is not None:
-                found = {x: w for _, (x, w) in self.find.iter(_plain_sentence(s))}
-                best = max(best, sum(sorted(found.values())[-6:]))
-        return best
+            return 0.0
+        return max((self._sentence(s) for s in _SENTENCE.split(restored) if next(self.any.iter(s), None) is not None), default=0.0)
+
+    def _sentence(self, s: str) -> float:
+        found = {x: (w, end) for end, (x, w) in self.find.iter(_plain_sentence(s))}
+        taken: list[tuple[int, int]] = []
+        total = 0.0
+        for x, (w, end) in sorted(found.items(), key=lambda kv: (-kv[1][0], -len(kv[0]), kv[0])):
+            last = end - (x[-1] == " ")
+            first = end - len(x) + 1 + (x[0] == " ")
+            if len(taken) < STRONGEST and all(last < a or b < first for a, b in taken):
+                taken.append((first, last))
+                total += w
+        return total
 
 
 def scores(docs: DataFrame, row_id: str, text: str, *carry: str, labels: DataFrame | None = None) -> DataFrame:

@@ -284,6 +284,8 @@ def test_verdicts_are_learnt(spark):
     labels = spark.createDataFrame([(i, "abusive" if i % 2 else "none") for i in range(120)] + [(3, "none"), (4, "sexual"), (None, "none"), (7, None), (999, "none")], "doc_id long, label string")
     got = {r.doc_id: r for r in abuse.scores(df, "doc_id", "text", labels=labels).collect()}
     assert got[500].reviewed >= 1 and got[500].score >= 1 and got[500].abusive == 0 and got[501].score < 1 and got[502].score == 0
+    own = abuse.Evidence({" do ": 1.0, " not ": 1.0, " do not ": 2.0, " live ": 1.5, "别让": 2.0, "别让他": 1.0})
+    assert own.of("Do not, live. 别让他".lower()) == 3.5 and own.of("别让他走") == 2.0 and own.of("donot alive") == 0.0
     assert abuse.fit(df, "doc_id", "text", labels.limit(0), LM) == {} and abuse.Evidence({}).of("x") == 0.0
 
 
