@@ -282,7 +282,7 @@ def _whole_readings(text: str) -> Iterator[tuple[int, int, str]]:
                 yield a, b, s
     for m in _JOINED.finditer(text):
         a, b = m.span()
-        if b - a < 6 or any(x < b and a < y for x, y in seen):
+        if b - a < 6 or any(x < b and a < y for x, y in seen) or russian_rate(m[0]) > -5.0:  # a Russian word is one
             continue
         latin = all(c in _byte_table("cp1252") or c < "\x80" for c in m[0])
         for codec in (*FURTHER, *SINGLE_BYTE):

@@ -9,7 +9,7 @@ from fieldloom.llm import abuse, confusables, markup, mojibake, tokenize
 SAMPLES = ["代理商技工到尾矿库，目测引导轮法兰面不平。", "更换机油后出现，压力22.5MPa不随油门变化", "Kölde后部中冷器跑偏，Φ12，35μm", "насос 涡轮增压器盖板 муфта", "客户写作 façade-8 项目，余油½桶，±3°C"]
 
 
-@pytest.mark.parametrize("text", [*SAMPLES, "", None, "ascii only", "垚磊矿区 犇淼石料", "２０２４年：Ａ"])
+@pytest.mark.parametrize("text", [*SAMPLES, "TG330 фильтр 支架 Sеñаl О形圈", "фильтр масляный", "ФИЛЬТР", "Größe Äpfel über façade", "naïve café", "żółty łódź", "", None, "ascii only", "垚磊矿区 犇淼石料", "２０２４年：Ａ"])
 def test_plain_text_is_not_garbled(text):
     assert mojibake.garbled_spans(text) == [] and mojibake.restore(text) == text
 
