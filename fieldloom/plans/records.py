@@ -71,6 +71,14 @@ def inverted_index_by_term(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("term").agg(F.max("df").alias("df"), F.sum("n").alias("postings"), F.min("lo").alias("first_doc"), F.max("hi").alias("last_doc"), F.sum("tf").alias("tf"))
 
 
+def order_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of every file, parsed again from its text, and the warnings about them."""
+    o = spread(table(spark, d, "work_orders").where("raw_text is not null").select("record_id", "raw_text"), spark)
+    p = workorder.parse_orders(o, "raw_text", "record_id")
+    about = F.filter("parse_warnings", lambda w: w != "parts_section_without_structured_parts")
+    return p.select("record_id", "status", "work_order_id", "reported_issue", "solution", "remarks", F.array_join(about, "|").alias("warnings"))
+
+
 def part_signals(spark: SparkSession, d: str) -> DataFrame:
     """Which parts say anything structured."""
     p = table(spark, d, "part_evidence")
@@ -122,7 +130,7 @@ def search_summaries(spark: SparkSession, d: str) -> DataFrame:
     return tasks.search_summary(retrieval.package(found, q, config, 8), ("work_orders", "part_evidence"))
 
 
-QUERIES = {f.__name__: f for f in (clean_values, redacted_addresses, evaluation_listing, retry_inputs, fields_by_document, hits_as_returned, inverted_index_by_term, part_signals, order_documents_whole, verdicts, verdict_metrics, verdict_order_counts, verdict_export, search_summaries)}
+QUERIES = {f.__name__: f for f in (clean_values, redacted_addresses, evaluation_listing, retry_inputs, fields_by_document, hits_as_returned, inverted_index_by_term, order_sections, part_signals, order_documents_whole, verdicts, verdict_metrics, verdict_order_counts, verdict_export, search_summaries)}
 
 _E = """e AS (SELECT label_id AS id, CASE WHEN label = 'none' THEN 'search' ELSE 'batch_eval' END AS task_type, label AS summary, reviewer, doc_id, reviewed_at,
    CASE WHEN label_id % 5 = 0 THEN 'api' ELSE 'sh_' END || lpad(label_id::VARCHAR, 8, '0') || CASE WHEN label_id % 7 = 0 THEN '!' ELSE '' END AS share_id FROM review_labels)"""
@@ -146,6 +154,10 @@ _KEYS = ("part_number_name", "part_number", "part_name", "part_code", "quantity"
 _FLAT = lambda pairs: " || chr(31) || ".join(f"'{k}=' || {v}" for k, v in sorted(pairs))
 _JOIN = lambda *cs: "array_to_string(list_filter([" + ", ".join(S.CLEAN(c) for c in cs) + "], lambda x: x <> ''), chr(10))"
 
+_SECTION_OF = {"work_order_id": "工单id", "reported_issue": "用户报修内容", "solution": "人员落实及解决方法", "remarks": "备注"}
+_LABELS = "(工单ID|用户报修内容|人员落实及解决方法|备件信息|备注)"
+_TIDY = lambda c: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '\\n{_BLANK}*', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '^[ \\t\\n:：,，;；]+|[ \\t\\n:：,，;；]+$', '', 'g')"
+
 SQL = {
     "clean_values": f"""SELECT record_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ;' || solution || chr(10) || ' ' || chr(9) || ' x  y ：', '^{_BLANK}+|{_BLANK}+$', '', 'g'), '\\n\\s*', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '^[ \\t\\n:：,，;；]+|[ \\t\\n:：,，;；]+$', '', 'g') AS value FROM work_orders WHERE solution IS NOT NULL""",
     "redacted_addresses": """SELECT doc_id, 'postgresql://user:***@host:5432/db?Token=' || fault_code || '&x=1' AS database, 'postgresql://user:' || fault_code || '@host:5432/db?Token=***&x=1' AS query FROM documents WHERE fault_code IS NOT NULL""",
@@ -157,6 +169,12 @@ SQL = {
     "hits_as_returned": f"""{_BASE}, {S.top_ctes('bm', 'r', 5)} SELECT query_id, rank, r.doc_id, score, {S.CLEAN('d.title')} AS title, CASE WHEN length({_PREVIEW}) <= 420 THEN {_PREVIEW} ELSE rtrim(substr({_PREVIEW}, 1, 417)) || '...' END AS body_preview,
         nullif(d.metadata['work_order_id'], '') AS work_order_id, nullif(d.source_path, '') AS source_path, cardinality(coalesce(d.metadata, MAP {{}}))::INT AS facts FROM r JOIN index_documents d ON d.doc_id = r.doc_id""",
     "inverted_index_by_term": f"WITH {S.field_ctes()} SELECT term, count(*) AS df, count(*) AS postings, min(doc_id) AS first_doc, max(doc_id) AS last_doc, sum(tf)::BIGINT AS tf FROM post GROUP BY term",
+    "order_sections": f"""WITH n AS (SELECT record_id, regexp_replace(regexp_replace(translate(replace(replace(replace(raw_text, '﻿', ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '：', ':'), '[ \\t　]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM work_orders WHERE raw_text IS NOT NULL),
+        s AS (SELECT record_id, regexp_extract_all(t, '(?i){_LABELS}\\s*:', 1) AS l, regexp_split_to_array(t, '(?i){_LABELS}\\s*:\\s*') AS v FROM n),
+        x AS (SELECT record_id, lower(unnest(l)) AS label, unnest(range(1, len(l) + 1)) AS i, unnest(list_transform(v[2:], lambda y: {_TIDY('y')})) AS value FROM s),
+        y AS (SELECT record_id, label, arg_max(value, i) AS value FROM x WHERE value <> '' GROUP BY ALL),
+        z AS (SELECT n.record_id, {', '.join(f"max(value) FILTER (label = '{label}') AS {key}" for key, label in _SECTION_OF.items())} FROM n LEFT JOIN y ON y.record_id = n.record_id GROUP BY n.record_id)
+        SELECT record_id, 'parsed' AS status, work_order_id, reported_issue, solution, remarks, concat_ws('|', CASE WHEN reported_issue IS NULL THEN 'missing_reported_issue' END, CASE WHEN solution IS NULL THEN 'missing_solution' END, CASE WHEN work_order_id IS NULL THEN 'missing_work_order_id' END) AS warnings FROM z""",
     "part_signals": "SELECT part_id, coalesce(part_number_name, '') || coalesce(part_number, '') || coalesce(part_name, '') || coalesce(part_code, '') || coalesce(quantity, '') <> '' AS signal FROM part_evidence",
     "order_documents_whole": f"""SELECT 'wo:' || {_WO_ID} AS doc_id, 'work_order' AS doc_type, {_FIRST('reported_issue', 'work_order_id', 'source_path')} AS title, {_JOIN('reported_issue', 'solution', 'remarks', 'raw_text')} AS text,
           {_FLAT([(c, S.CLEAN(c)) for c in ('reported_issue', 'solution', 'remarks', 'raw_text')])} AS fields, {_FLAT([('work_order_id', S.CLEAN('work_order_id')), ('part_count', 'coalesce(len(parts), 0)')])} AS metadata, source_path FROM work_orders
