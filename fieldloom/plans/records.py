@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text as T
-from fieldloom.operators import evaluate, index, retrieval, tasks, workorder
+from fieldloom.operators import evaluate, evidence, index, retrieval, tasks, workorder
 from fieldloom.plans import search
 from fieldloom.plans import sqltext as S
 from fieldloom.plans.search import _BASE, _CUT, _FIRST, _WO_ID
@@ -130,7 +130,23 @@ def search_summaries(spark: SparkSession, d: str) -> DataFrame:
     return tasks.search_summary(retrieval.package(found, q, config, 8), ("work_orders", "part_evidence"))
 
 
-QUERIES = {f.__name__: f for f in (clean_values, redacted_addresses, evaluation_listing, retry_inputs, fields_by_document, hits_as_returned, inverted_index_by_term, order_sections, part_signals, order_documents_whole, verdicts, verdict_metrics, verdict_order_counts, verdict_export, search_summaries)}
+def matched_terms_json(spark: SparkSession, d: str) -> DataFrame:
+    """What matched in each question's best order as JSON text, and the first term read back from it."""
+    ix = search.index_for(search.docs(spark, d), search.questions(spark, d))
+    best = retrieval.bm25(ix, ["work_order"], 1).select("query_id", "doc_id")
+    m = retrieval.matched_terms(retrieval.matches(ix, {"work_order": ""}).join(best, ["query_id", "doc_id"], "left_semi"))
+    j = m.withColumn("matched", F.to_json(F.transform("matched_terms", lambda x: F.struct(x["tf"].alias("tf"), x["term"].alias("term"), x["field"].alias("field")))))
+    return j.select("query_id", "doc_id", "matched", F.get_json_object("matched", "$[0].term").alias("first_term"))
+
+
+def relevance_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts in several languages and spellings as levels."""
+    r = table(spark, d, "review_labels")
+    word = F.element_at(F.array(*map(F.lit, (" High", "中等相关", "不相关", "LOW", "?", "相关 ", "可能相关"))), (F.col("label_id") % 7 + 1).cast("int"))
+    return r.select("label_id", evidence.relevance(F.when(F.col("label_id") % 11 != 0, word)).alias("level"))
+
+
+QUERIES = {f.__name__: f for f in (clean_values, redacted_addresses, evaluation_listing, retry_inputs, fields_by_document, hits_as_returned, inverted_index_by_term, order_sections, part_signals, order_documents_whole, verdicts, verdict_metrics, verdict_order_counts, verdict_export, search_summaries, matched_terms_json, relevance_levels)}
 
 _E = """e AS (SELECT label_id AS id, CASE WHEN label = 'none' THEN 'search' ELSE 'batch_eval' END AS task_type, label AS summary, reviewer, doc_id, reviewed_at,
    CASE WHEN label_id % 5 = 0 THEN 'api' ELSE 'sh_' END || lpad(label_id::VARCHAR, 8, '0') || CASE WHEN label_id % 7 = 0 THEN '!' ELSE '' END AS share_id FROM review_labels)"""
@@ -188,6 +204,9 @@ SQL = {
     "verdict_order_counts": f"WITH {_V} SELECT count(*) AS done, count_if(work_order_required) AS work_order_required, count_if(work_order_required AND work_order_recall) AS work_order_pass, count_if(len(expected) = 0) AS without_expectation FROM v",
     "verdict_export": f"""WITH {_V} SELECT record_id::VARCHAR AS row_number, question, mode, status, missing::VARCHAR AS missing, unexpected::VARCHAR AS unexpected, coalesce(error, '') AS error,
         coalesce(expected[1].name || ' ' || expected[1].code || ' ' || expected[1].quantity, '') AS expected_parts, coalesce(retrieved_order, '') AS retrieved_orders FROM v""",
+    "matched_terms_json": f"""{_BASE}, {S.top_ctes('bm', 'r', 1)}, j AS (SELECT m.query_id, m.doc_id, to_json(list({{'tf': tf, 'term': term, 'field': field}} ORDER BY tf, term, field))::VARCHAR AS matched FROM (SELECT DISTINCT query_id, doc_id, tf, term, field FROM bm_m) m JOIN r ON r.query_id = m.query_id AND r.doc_id = m.doc_id GROUP BY ALL)
+        SELECT query_id, doc_id, matched, json_extract_string(matched, '$[0].term') AS first_term FROM j""",
+    "relevance_levels": "SELECT label_id, CASE WHEN label_id % 11 = 0 THEN 'unknown' ELSE ['high', 'medium', 'unrelated', 'low', 'unknown', 'high', 'medium'][label_id % 7 + 1] END AS level FROM review_labels",
     "search_summaries": f"""{_CUT}, h AS (SELECT query_id, metadata['work_order_id'] AS work_order_id FROM cut JOIN index_documents USING (doc_id) WHERE metadata['work_order_id'] <> '' GROUP BY ALL), p AS (SELECT query_id, count(*) AS n FROM h JOIN part_evidence USING (work_order_id) GROUP BY 1)
         SELECT q.query_id, 'bm25 · work_orders ' || (SELECT count(*) FROM cut c WHERE c.query_id = q.query_id) || ' · part_evidence ' || coalesce(p.n, 0) AS summary FROM asked q LEFT JOIN p ON p.query_id = q.query_id""",
 }

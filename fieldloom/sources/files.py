@@ -161,7 +161,7 @@ def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
     """CSV with a header and doubled quotes; with a byte-order mark the first column's name carries it in every part, for spreadsheet programs."""
     first = df.columns[0]
     out = df.withColumnRenamed(first, "﻿" + first) if mark else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).option("emptyValue", "").csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def skip_existing(pending: DataFrame, done: DataFrame, key: str = "relative_path") -> DataFrame:

@@ -171,3 +171,35 @@ def test_workbook(spark, tmp_path):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_kinds_of_files(spark, tmp_path):
+    for name in ("a.HTML", "b.htm", "c.Md", "d.markdown", "e.txt", "f.html.bak", "g"):
+        (tmp_path / name).write_text(name)
+    found = lambda kind: sorted(r.path.rpartition("/")[2] for r in files.scan(spark, kind, str(tmp_path)).select("path").collect())
+    assert found("html") == ["a.HTML", "b.htm"] and found("markdown") == ["c.Md", "d.markdown"] and found("work_order") == ["e.txt"] and found("manual") == ["a.HTML", "b.htm", "c.Md", "d.markdown"]
+    assert [r.rel for r in files.scan(spark, "work_order", str(tmp_path)).select(files.relative_path(F.col("path"), str(tmp_path)).alias("rel")).collect()] == ["e.txt"]
+
+
+def test_sinks_come_back(spark, tmp_path):
+    import csv
+    import json
+
+    rows = [("a", None, 'q"x,\n'), ("b", "泵", "")]
+    df = spark.createDataFrame(rows, "k string, v string, t string").coalesce(1)
+    files.write_json_lines(df, str(tmp_path / "j"))
+    assert sorted(json.loads(line)["k"] for f in (tmp_path / "j").glob("*.json") for line in f.read_text().splitlines()) == ["a", "b"]
+    assert '"v":null' in next((tmp_path / "j").glob("*.json")).read_text()
+    files.write_csv(df, str(tmp_path / "c"))
+    raw = next((tmp_path / "c").glob("*.csv")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbf")
+    got = list(csv.reader(raw.decode("utf-8-sig").splitlines(keepends=True)))
+    assert got == [["k", "v", "t"], ["a", "", 'q"x,\n'], ["b", "泵", ""]]
+    files.write_json(spark, str(tmp_path / "deep" / "r.json"), {"b": [1], "泵": None})
+    assert json.loads((tmp_path / "deep" / "r.json").read_text()) == {"b": [1], "泵": None}
+    from fieldloom.operators import index
+
+    docs = spark.createDataFrame([("d1", "t", {"f": "x y"}), ("d2", "t", {"f": "x"})], "doc_id string, doc_type string, fields map<string,string>")
+    files.write_inverted_index(index.inverted_index(index.postings(index.document_fields(docs))), str(tmp_path / "ix"))
+    lines = [json.loads(line) for f in sorted((tmp_path / "ix").glob("*.json")) for line in f.read_text().splitlines()]
+    assert {x["term"]: [p["doc_id"] for p in x["postings"]] for x in lines} == {"x": ["d1", "d2"], "y": ["d1"]}
