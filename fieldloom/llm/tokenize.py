@@ -86,30 +86,27 @@ def join(t, text: str, left: Piece, right: Piece, window: int = WINDOW) -> Piece
         window *= 2
 
 
-def encode_texts(texts: list[str | None], path: str, leaf: int = LEAF, window: int = WINDOW) -> list[list[int]]:
-    """ids of each text; null and empty texts have none."""
+def encode_texts(texts: list[str | None], path: str, leaf: int = LEAF, window: int = WINDOW, counts: bool = False) -> list:
+    """ids of each text, or how many; null and empty texts have none. Texts of one leaf need no joins, so they are encoded without positions."""
     t = load(path)
-    cuts: list[list[int]] = []
 
     def halves(a: int, b: int) -> list[int]:
         return [a] if b - a <= leaf else halves(a, (a + b) // 2) + halves((a + b) // 2, b)
 
-    for x in texts:
-        cuts.append([*halves(0, len(x)), len(x)] if x else [0])
-    leaves = [x[a:b] for x, c in zip(texts, cuts, strict=True) for a, b in zip(c, c[1:], strict=False)]
-    encoded = iter(t.encode_batch(leaves, add_special_tokens=False))
-    out = []
-    for x, c in zip(texts, cuts, strict=True):
-        if len(c) == 1:
-            out.append([])
-        elif len(c) == 2:
-            out.append(next(encoded).ids)
-        else:
-            level = [(a, b, _piece(next(encoded), b - a)) for a, b in zip(c, c[1:], strict=False)]
+    out: list = [0 if counts else [] for _ in texts]
+    short = [i for i, x in enumerate(texts) if x and len(x) <= leaf]
+    for i, e in zip(short, t.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
+        out[i] = len(e) if counts else e.ids
+    for i, x in enumerate(texts):
+        if x and len(x) > leaf:
+            c = [*halves(0, len(x)), len(x)]
+            pieces = t.encode_batch([x[a:b] for a, b in zip(c, c[1:], strict=False)], add_special_tokens=False)
+            level = [(a, b, _piece(e, b - a)) for a, b, e in zip(c, c[1:], pieces, strict=False)]
             while len(level) > 1:  # neighbours join, level by level
                 up = [(l[0], r[1], join(t, x[l[0] : r[1]], l[2], r[2], window)) for l, r in zip(level[::2], level[1::2], strict=False)]
                 level = up + level[len(up) * 2 :]
-            out.append(level[0][2][0])
+            ids = level[0][2][0]
+            out[i] = len(ids) if counts else ids
     return out
 
 
@@ -131,8 +128,8 @@ def encode(df: DataFrame, row_id: str, text: str, path: str | None = None, carry
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                ids = encode_texts(b.column(b.num_columns - 1).to_pylist(), where)
-                col = pa.array([len(x) for x in ids], pa.int64()) if count_only else pa.array(ids, pa.list_(pa.int32()))
+                found = encode_texts(b.column(b.num_columns - 1).to_pylist(), where, counts=count_only)
+                col = pa.array(found, pa.int64() if count_only else pa.list_(pa.int32()))
                 names = [*b.schema.names[:-1], "n_tokens" if count_only else "ids"]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], col], names=names)
 

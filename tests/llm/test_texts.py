@@ -185,6 +185,7 @@ def test_tokens_by_tree_equal_direct_encoding():
     direct = [t.encode(x, add_special_tokens=False).ids for x in texts]
     for leaf, window in ((3, 1), (50, 4), (8192, 64)):
         assert tokenize.encode_texts(texts, path, leaf, window) == direct
+        assert tokenize.encode_texts([None, *texts, ""], path, leaf, window, counts=True) == [0, *map(len, direct), 0]
     assert [tokenize.decode_ids(i, path) for i in direct] == texts
     assert tokenize.encode_texts([None, "", "a"], path)[:2] == [[], []]
 
