@@ -56,6 +56,22 @@ def test_terms_equal_their_definition(spark):
     assert got == {k: (*v, seen[v[0], k[1]]) for k, v in want.items()}
 
 
+def test_found_terms_need_no_score(spark, tmp_path, monkeypatch):
+    texts = {"a": "pump pump E1-2 e1-2. 漏油漏油", "b": "pump valve valve 漏油", None: "valve valve valve x x", "d": "x seal seal", "e": "", "f": None}
+    texts |= {f"g{i}": "belt belt" for i in range(5)} | {f"h{i}": "gear gear" for i in range(6)}
+    spark.createDataFrame(list(texts.items()), "doc_id string, text string").write.parquet(f"{tmp_path}/index_documents.parquet")
+
+    def unused(*args, **kwargs):
+        raise AssertionError("a score that no row depends on")
+
+    for name in ("enrichment", "_log_p", "log_upper_tail"):
+        monkeypatch.setattr(enrichment, name, unused)
+    found = enrichment.p7_found(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "term"]
+    want = [("a", "pump"), ("a", "漏油"), ("b", "valve"), (None, "valve"), (None, "x")] + [(f"g{i}", "belt") for i in range(5)]
+    assert Counter(map(tuple, found.collect())) == Counter(want)
+
+
 def corpus(spark, seed=7):
     rnd = random.Random(seed)
     rows = [(i, rnd.choice(["a"] * 6 + ["b"] * 3 + ["c"]), "word " * rnd.randint(1, 120) + str(i)) for i in range(3000)]
