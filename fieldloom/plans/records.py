@@ -134,7 +134,7 @@ def matched_terms_json(spark: SparkSession, d: str) -> DataFrame:
     """What matched in each question's best order as JSON text, and the first term read back from it."""
     ix = search.index_for(search.docs(spark, d), search.questions(spark, d))
     best = retrieval.bm25(ix, ["work_order"], 1).select("query_id", "doc_id")
-    m = retrieval.matched_terms(retrieval.matches(ix, {"work_order": ""}).join(best, ["query_id", "doc_id"], "left_semi"))
+    m = retrieval.matched_terms(ix, best)
     j = m.withColumn("matched", F.to_json(F.transform("matched_terms", lambda x: F.struct(x["tf"].alias("tf"), x["term"].alias("term"), x["field"].alias("field")))))
     return j.select("query_id", "doc_id", "matched", F.get_json_object("matched", "$[0].term").alias("first_term"))
 
