@@ -100,7 +100,7 @@ def _verdict_rows(spark: SparkSession, d: str) -> DataFrame:
     coded = F.filter(parts, lambda p: p["code"] != "")
     r = F.col("record_id")
     return o.select(
-        "record_id", r.cast("int").alias("row_number"), F.when(r % 17 == 0, " ").otherwise(F.coalesce("reported_issue", F.lit("q"))).alias("question"), F.slice(coded, 1, 1).alias("expected"), F.slice(parts, F.when(r % 4 == 0, 2).otherwise(1), 1000).alias("retrieved"),
+        "record_id", r.alias("row_number"), F.when(r % 17 == 0, " ").otherwise(F.coalesce("reported_issue", F.lit("q"))).alias("question"), F.slice(coded, 1, 1).alias("expected"), F.slice(parts, F.when(r % 4 == 0, 2).otherwise(1), 1000).alias("retrieved"),
         F.when(r % 3 != 0, F.concat(F.lit("dir/"), F.lower("work_order_id"), F.lit(".txt"))).alias("expected_order"), F.array(F.concat(F.lit("wo:"), F.when(r % 5 == 0, "other").otherwise(F.col("work_order_id")))).alias("retrieved_orders"),
         F.when(r % 2 == 0, F.concat(F.lit("use "), F.coalesce(F.get(F.transform(coded, lambda p: p["code"]), F.lit(0)), F.lit("-")))).alias("answer"), F.when(r % 2 == 0, "answer").otherwise("search").alias("mode"), F.when(r % 23 == 0, "boom").alias("error"),
     )

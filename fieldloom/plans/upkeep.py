@@ -144,7 +144,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     rows = q.join(wo, "query_id")
     for side in (own, lists, orders, total):
         rows = rows.join(side, "query_id", "left")
-    j = evaluate.judge(rows.select("*", F.col("query").alias("question"), F.lit("search").alias("mode"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error"), F.col("query_id").cast("int").alias("row_number")))
+    j = evaluate.judge(rows.select("*", F.col("query").alias("question"), F.lit("search").alias("mode"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error"), F.col("query_id").alias("row_number")))
     return j.withColumn("unexpected", (F.coalesce("total", F.lit(0)) - F.size(F.filter("picked", lambda i: i >= 0))).cast("int"))
 
 
