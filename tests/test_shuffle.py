@@ -35,7 +35,7 @@ def shuffled(spark, run):
     return sum(n for k, n in stages().items() if k not in before), rows
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "batch_metrics", "bm25_matched_terms", "evidence_package", "rank_ordered_parts", "threshold_events", "batch_order_recall", "hits_as_returned", "matched_terms_json", "relative_threshold", "typical_fault_search", "batch_recall", "evidence_flatten", "part_channel"])
+@pytest.mark.parametrize("name", ["bm25_topk", "batch_metrics", "bm25_matched_terms", "evidence_package", "rank_ordered_parts", "threshold_events", "batch_order_recall", "hits_as_returned", "matched_terms_json", "relative_threshold", "typical_fault_search", "batch_recall", "evidence_flatten", "part_channel", "search_summaries"])
 def test_postings_stay_in_their_task(spark, tables, name):
     n, rows = shuffled(spark, lambda: catalog.QUERIES[name](spark, tables))
     assert rows and n < TERMS * DOCS / 3, n
